@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue (operator 5).
 
 Each merge rank has a bucket of positions in a linked list of symbols. A bitmap of the non-empty buckets, with two more levels above
-it, gives the next rank by find-first-set; entries whose pair is gone are skipped when they come up. A pre-token of n bytes takes
-O(n log n) steps, so very long ones are no trouble. Words that come again are looked up, in caches of bounded size.
+it, gives the next rank by find-first-set; entries whose pair is gone are skipped when they come up. All positions of a rank are merged
+together, over a whole batch of pre-tokens or one very long one. Words that come again are looked up, in caches of bounded size.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,25 +28,32 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank; pops the lowest rank, and its leftmost position."""
+    """Positions by rank. ``pop`` gives the lowest rank that has any, with all of its positions."""
 
     def __init__(self, n_ranks: int) -> None:
         self.low = [0] * ((n_ranks >> 6) + 1)
         self.mid = [0] * ((n_ranks >> 12) + 1)
         self.top = 0
-        self.buckets: dict[int, list[int]] = {}
+        self.buckets: dict[int, list[np.ndarray]] = {}
 
-    def push(self, rank: int, position: int) -> None:
+    def push(self, rank: int, positions: np.ndarray) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
-            self.buckets[rank] = [position]
+            self.buckets[rank] = [positions]
             self.low[rank >> 6] |= 1 << (rank & 63)
             self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
             self.top |= 1 << (rank >> 12)
         else:
-            heappush(bucket, position)
+            bucket.append(positions)
 
-    def pop(self) -> tuple[int, int] | None:
+    def push_all(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[order]
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for rank, a, b in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False):
+            self.push(rank, positions[a:b])
+
+    def pop(self) -> tuple[int, np.ndarray] | None:
         if not self.top:
             return None
         a = (self.top & -self.top).bit_length() - 1
@@ -55,94 +61,147 @@ class RankQueue:
         b = (a << 6) + (word & -word).bit_length() - 1
         word = self.low[b]
         rank = (b << 6) + (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= word - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, position
+        self.low[b] &= word - 1
+        if not self.low[b]:
+            self.mid[a] &= self.mid[a] - 1
+            if not self.mid[a]:
+                self.top &= self.top - 1
+        bucket = self.buckets.pop(rank)
+        return rank, bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
 
 
 class Merger:
-    """Encodes one pre-token by ranks."""
+    """Encodes pre-tokens by ranks, many at once: their linked lists lie end to end in one set of arrays, behind stoppers, and share the queue.
+
+    Merging every leftmost pair of the lowest rank of all lists is what each list alone would do: a merge makes pairs of other ranks only.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-
-    def encode(self, piece: bytes) -> list[int]:
-        get = self.ranks.get
-        whole = get(piece)
-        if whole is not None:
-            return [whole]
-        n, push, pop = len(piece), self.queue.push, self.queue.pop
-        after, before, pair = list(range(1, n + 2)), list(range(-1, n)), [-1] * n
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
-                pair[i] = r
-                push(r, i)
-        while (entry := pop()) is not None:
-            r, i = entry
-            if pair[i] != r:
-                continue
-            j = after[i]
-            k = after[j]
-            after[i], pair[j], pair[i] = k, -1, -1
-            if k < n:
-                before[k] = i
-                r = get(piece[i : after[k]])
-                if r is not None:
-                    pair[i] = r
-                    push(r, i)
-            p = before[i]
-            if p >= 0:
-                r = get(piece[p:k])
-                pair[p] = -1 if r is None else r
-                if r is not None:
-                    push(r, p)
-        ids, i = [], 0
-        while i < n:
-            ids.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
-        return ids
-
-
-class Cache(dict):
-    """Keys to packed ids. A full generation becomes the old one; what is used again comes back from it."""
-
-    def __init__(self, make: Callable[[str], bytes], most: int = 200_000, longest: int = 48) -> None:
-        super().__init__()
-        self.make, self.most, self.longest, self.old = make, most, longest, {}
-
-    def __missing__(self, key: str) -> bytes:
-        found = self.old.get(key)
-        if found is None:
-            found = self.make(key)
-            if len(key) > self.longest:
-                return found
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = found
+        self.n_ranks = max(ranks.values(), default=0) + 1
+        get = ranks.get
+        pairs = {(get(t[:k]) * self.n_ranks + get(t[k:])): r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        order = np.argsort(keys)
+        self.keys, self.values = np.append(keys[order], np.iinfo(np.int64).max), np.append(np.fromiter(pairs.values(), np.int64, len(pairs))[order], -1)
+        self.single = np.array([get(bytes([b]), -1) for b in range(256)], np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of tokens, or -1. Stoppers are -1 and pair with nothing."""
+        wanted = left * self.n_ranks + right
+        at = np.searchsorted(self.keys, wanted)
+        return np.where((self.keys[at] == wanted) & (left >= 0) & (right >= 0), self.values[at], -1)
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token, packed as little-endian 32-bit numbers."""
+        found: list[bytes | None] = [None] * len(pieces)
+        rest = []
+        for k, piece in enumerate(pieces):
+            whole = self.ranks.get(piece)
+            if whole is not None:
+                found[k] = whole.to_bytes(4, "little")
+            elif piece:
+                rest.append(k)
+            else:
+                found[k] = b""
+        if rest:
+            for k, ids in zip(rest, self._merge([pieces[k] for k in rest]), strict=True):
+                found[k] = ids
         return found
 
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+        ends = np.cumsum([len(p) + 1 for p in pieces])  # where each list's stopper stands; node 0 is a stopper too
+        n = int(ends[-1]) + 1
+        token = np.full(n, -1, np.int64)
+        inner = np.ones(n, bool)
+        inner[0] = False
+        inner[ends] = False
+        token[inner] = self.single[np.frombuffer(b"".join(pieces), np.uint8)]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        pair = np.append(self._rank(token[:-1], token[1:]), -1)
+        queue = RankQueue(self.n_ranks)
+        start = np.flatnonzero(pair >= 0)
+        if len(start):
+            queue.push_all(pair[start], start)
+        while (entry := queue.pop()) is not None:
+            rank, at = entry
+            at = at[pair[at] == rank]
+            if not len(at):
+                continue
+            if len(at) > 1:
+                at = np.unique(at)
+                chained = after[at[:-1]] == at[1:]
+                if chained.any():  # of pairs that share a symbol, every other one from the left
+                    run = np.cumsum(np.concatenate(([True], ~chained)))
+                    first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+                    at = at[(np.arange(len(at)) - first[run - 1]) % 2 == 0]
+            gone = after[at]
+            follow = after[gone]
+            after[at], before[follow], token[at] = follow, at, rank
+            pair[gone], token[gone] = -1, -2
+            anew = np.concatenate((before[at], at))
+            ranks = self._rank(token[anew], token[after[anew]])
+            pair[anew] = ranks
+            good = ranks >= 0
+            if good.any():
+                if good.sum() == 1:
+                    k = int(good.argmax())
+                    queue.push(int(ranks[k]), anew[k : k + 1])
+                else:
+                    queue.push_all(ranks[good], anew[good])
+        alive = np.flatnonzero(token >= 0)
+        packed = token[alive].astype("<u4").tobytes()
+        cuts = [0, *(4 * np.searchsorted(alive, ends)).tolist()]
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+class Cache:
+    """Strings to packed ids, in two generations of bounded size; what is used again comes back from the old one."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int = 300_000, longest: int = 48) -> None:
+        self.make, self.most, self.longest = make, most, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ready(self, needed: set[str]) -> dict[str, bytes]:
+        """A dictionary that has all the needed strings, until the next call."""
+        if len(self.young) + len(needed) > self.most:
+            self.old = {k: v for k, v in self.young.items() if len(k) <= self.longest}
+            self.young = {}
+        todo = []
+        for key in needed.difference(self.young):
+            found = self.old.get(key)
+            if found is None:
+                todo.append(key)
+            else:
+                self.young[key] = found
+        if todo:
+            self.young.update(zip(todo, self.make(todo), strict=True))
+        return self.young
 
-class Words:
-    """Encodes texts word by word: ``encode`` packs the ids of any text as little-endian 32-bit numbers."""
-
-    def __init__(self, encode: Callable[[str], bytes]) -> None:
-        self.whole, self.first, self.later = encode, Cache(encode, 20_000), Cache(lambda word: encode(" " + word))
 
-    def encode(self, text: str) -> bytes:
-        if _WIDE.search(text):
-            return self.whole(text)
-        words = text.split(" ")
-        return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
+class Words:
+    """Encodes texts word by word. ``make`` encodes many strings at once; ids are packed as little-endian 32-bit numbers."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]]) -> None:
+        self.make = make
+        self.cache = Cache(lambda words: make([" " + w for w in words]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        wide = [k for k, t in enumerate(texts) if _WIDE.search(t)]
+        found = dict(zip(wide, self.make([texts[k] for k in wide]), strict=True)) if wide else {}
+        needed: set[str] = set()
+        heads = []
+        for k, t in enumerate(texts):
+            if k in found:
+                heads.append("")
+            else:
+                head, *rest = t.split(" ")
+                heads.append(head)
+                needed.update(rest)
+        ids = self.cache.ready(needed).__getitem__
+        heads = self.make(heads)
+        return [found[k] if k in found else heads[k] + b"".join(map(ids, t.split(" ")[1:])) for k, t in enumerate(texts)]
 
 
 class Encoder:
@@ -150,17 +209,22 @@ class Encoder:
 
     def __init__(self, vocabulary: bytes, pattern: str) -> None:
         self.ranks = load_ranks(vocabulary)
-        self.split, merger = regex.compile(pattern).findall, Merger(self.ranks)
-        self.pieces = Cache(lambda piece: np.array(merger.encode(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes())
-        self.words = Words(lambda text: b"".join(map(self.pieces.__getitem__, self.split(text))))
+        self.split, self.merger = regex.compile(pattern).findall, Merger(self.ranks)
+        self.pieces = Cache(lambda new: self.merger.encode([p.encode("utf-8", "surrogatepass") for p in new]))
+        self.words = Words(self._strings)
         tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             tokens[rank] = token
         self.offsets = np.concatenate(([0], np.cumsum([len(t) for t in tokens]))).astype(np.int64)
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def encode(self, text: str) -> bytes:
-        return self.words.encode(text)
+    def _strings(self, strings: list[str]) -> list[bytes]:
+        split = [self.split(s) for s in strings]
+        ids = self.pieces.ready({p for pieces in split for p in pieces}).__getitem__
+        return [b"".join(map(ids, pieces)) for pieces in split]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self.words.encode(texts)
 
     def decode(self, ids: np.ndarray) -> bytes:
         starts = self.offsets[ids]
@@ -189,15 +253,15 @@ def id_lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
 
-def _mapped(df: DataFrame, column: str, kind: str, source, work) -> DataFrame:
-    """``df`` with ``column`` made by ``work`` from the Arrow column ``source``, in slices of about a million bytes."""
+def _mapped(df: DataFrame, column: str, kind: str, source, work, slice_bytes: int) -> DataFrame:
+    """``df`` with ``column`` made by ``work`` from the Arrow column ``source``, in slices of about ``slice_bytes``."""
     rest = [c for c in df.columns if c.lower() != column]
     rows = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), source.alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = work()
         for batch in batches:
-            step = max(1, min(batch.num_rows, int(batch.num_rows * 4e6 / max(1, batch.column(1).nbytes))))
+            step = max(1, min(batch.num_rows, batch.num_rows * slice_bytes // max(1, batch.column(1).nbytes)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 yield pa.RecordBatch.from_arrays([part.column(0), apply(part.column(1))], names=["row", "y"])
@@ -216,9 +280,9 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text
 
     def work():
         own = encoder(*shared.value)
-        return lambda texts: id_lists([own.encode(t) if t else b"" for t in texts.to_pylist()])
+        return lambda texts: id_lists(own.encode([t or "" for t in texts.to_pylist()]))
 
-    return _mapped(df, "ids", "array<int>", F.col(text_col).cast("string"), work)
+    return _mapped(df, "ids", "array<int>", F.col(text_col).cast("string"), work, 16 << 20)
 
 
 def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -229,4 +293,4 @@ def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids_col: str = "ids")
         own = encoder(*shared.value)
         return lambda lists: pa.array([None if not x.is_valid else own.decode(x.values.to_numpy(zero_copy_only=False).astype(np.int64)) for x in lists], pa.binary())
 
-    return _mapped(df, "decoded", "binary", F.col(ids_col).cast("array<int>"), work)
+    return _mapped(df, "decoded", "binary", F.col(ids_col).cast("array<int>"), work, 4 << 20)

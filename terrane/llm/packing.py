@@ -43,12 +43,29 @@ class Tokenizer:
         ranks = {bytes(_BYTES[c] for c in token): i for token, i in self.own.get_vocab(False).items() if token not in added}
         fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.added = sorted(added)
-        self.words = Words(lambda text: np.array(fast.encode_ordinary(text), "<u4").tobytes())
-
-    def encode(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
-            return np.array(self.own.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return self.words.encode(text)
+        self.fast = fast.encode_ordinary
+        self.opens = np.zeros(max(ranks.values(), default=0) + 1, bool)  # tokens that begin with a space
+        for token, i in ranks.items():
+            self.opens[i] = token[:1] == b" "
+        self.words = Words(self._strings)
+
+    def _strings(self, strings: list[str]) -> list[bytes]:
+        """Strings that are a space and a word without white space go through as one text, and are told apart by their spaces."""
+        plain = [k for k, s in enumerate(strings) if len(s) > 1 and s[0] == " " and len(s.split()) == 1 and not s[1].isspace() and not s[-1].isspace()]
+        if len(plain) < 100:
+            return [np.array(self.fast(s), "<u4").tobytes() for s in strings]
+        ids = np.array(self.fast("".join([strings[k] for k in plain])), "<u4")
+        cuts = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+        packed, found = ids.tobytes(), dict.fromkeys(range(len(strings)))
+        found.update((k, packed[a:b]) for k, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True))
+        return [np.array(self.fast(strings[k]), "<u4").tobytes() if x is None else x for k, x in found.items()]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        special = {k for k, t in enumerate(texts) for a in self.added if a in t}
+        found = self.words.encode([t if k not in special else "" for k, t in enumerate(texts)])
+        for k in special:
+            found[k] = np.array(self.own.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+        return found
 
 
 def _byte_characters() -> dict[str, int]:
@@ -99,28 +116,25 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> tuple[list[
     return placements, sequences
 
 
-def _pieces(shared, capacity: int, end: int):
+def _pieces(shared, capacity: int, end: int, slice_bytes: int = 4 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = tokenizer(shared.value), np.zeros(capacity + 1, np.int64)
         part, tail = TaskContext.get().partitionId(), np.array([end], "<u4").tobytes()
         names = ["doc_id", "start", "length", "doc_tokens", "ids", "part", "local_rank"]
-        for batch in batches:
-            rows: list[tuple] = []
-            size = 0
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_py()
-                ids = (own.encode(text) if text else b"") + tail
-                n = len(ids) >> 2
-                for start in range(0, n, capacity):
-                    length = min(capacity, n - start)
-                    rows.append((k, start, length, n, ids[4 * start : 4 * (start + length)], int(seen[length])))
-                    seen[length] += 1
-                size += n
-                if rows and (size > 1_000_000 or k + 1 == batch.num_rows):
-                    at, *numbers = (list(c) for c in zip(*rows, strict=True))
-                    start, length, total, packed, rank = numbers
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *(pa.array(c, pa.int64()) for c in (start, length, total)), id_lists(packed), pa.array([part] * len(at), pa.int32()), pa.array(rank, pa.int64())], names=names)
-                    rows, size = [], 0
+        for whole in batches:
+            step = max(1, min(whole.num_rows, whole.num_rows * slice_bytes // max(1, whole.column(1).nbytes)))
+            for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+                rows: list[tuple] = []
+                for k, ids in enumerate(own.encode([t or "" for t in batch.column(1).to_pylist()])):
+                    ids += tail
+                    n = len(ids) >> 2
+                    for start in range(0, n, capacity):
+                        length = min(capacity, n - start)
+                        rows.append((k, start, length, n, ids[4 * start : 4 * (start + length)], int(seen[length])))
+                        seen[length] += 1
+                at, start, length, total, packed, rank = (list(c) for c in zip(*rows, strict=True))
+                long = lambda c: pa.array(c, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), long(start), long(length), long(total), id_lists(packed), pa.array([part] * len(at), pa.int32()), long(rank)], names=names)
 
     return run
 
