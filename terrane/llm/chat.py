@@ -52,14 +52,13 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Buffer, np.ndarray, n
     """One buffer with all turns in order; where each turn starts (one more than turns), where its text starts, and the text's bytes."""
     n = len(texts)
     role_kinds = pc.dictionary_encode(roles)
-    heads = pc.binary_join_element_wise(*(pa.array([x.decode()]) for x in (OPEN,)), escape(role_kinds.dictionary), pa.array([MID.decode()]), "")
+    heads = pc.binary_join_element_wise(OPEN.decode(), escape(role_kinds.dictionary), MID.decode(), "")
     head_data, head_offsets = _view(heads.take(role_kinds.indices))
     data, offsets = _view(escape(texts))
     head_len, text_len = np.diff(head_offsets), np.diff(offsets)
     turns = np.concatenate(([0], np.cumsum(head_len + text_len + len(END))))
     buffer = pa.allocate_buffer(int(turns[-1]))
     out = np.frombuffer(buffer, np.uint8)
-    out.flags.writeable or out.setflags(write=True)
     _scatter(out, turns[:-1], head_data, head_offsets)
     _scatter(out, turns[:-1] + head_len, data, offsets)
     out[(turns[1:, None] - len(END) + np.arange(len(END))).ravel()] = np.tile(np.frombuffer(END, np.uint8), n)
