@@ -137,6 +137,20 @@ def _exact(size: int, percent: int):
     return run
 
 
+def _full_sets(base: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, value: the full sets of the documents named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                s = shingle_set(batch.column(1)[i].as_py().encode(), size).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py(), np.int64)), pa.array(s)], names=["id", "value"])
+
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return base.where("text is not null").join(ids, "id").dropDuplicates(["id"]).select("id", "text").mapInArrow(run, "id long, value long")
+
+
 def _lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
     """value, id, n, typical: the prefix of each sketch in order of rarity; ``typical`` is high for documents that others resemble."""
     posting = reps.where("n > 0").select("id", "n", F.explode("sketch").alias("value"))
@@ -217,8 +231,12 @@ def _long_lists(spark, long: DataFrame, links: DataFrame, reps: DataFrame, base:
     grouped = rest.join(many, ["value", "c"], "left")
     width = grouped.groupBy("value", "own").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("w")).withColumnRenamed("value", "v").withColumnRenamed("own", "o")
     dealt = grouped.join(width, (F.col("value") == F.col("v")) & F.col("own").eqNullSafe(F.col("o"))).withColumn("salt", F.pmod(F.xxhash64("id", "value"), F.col("w")).cast("int"))
-    docs = dealt.select("value", "own", "salt", "id", "n", "c").join(reps.select("id", "sketch"), "id")
-    blocks = written(spark, docs.groupBy("value", "own", "salt").agg(F.collect_list(F.struct("id", "n", "c", "sketch")).alias("docs")), "blocks")
+    # shingles that no other of these documents has bound what one can share with any of them
+    here = rest.select("id").distinct()
+    alone = _full_sets(base, here, size).groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")).where("m = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    most = reps.join(here, "id").join(alone, "id", "left").select("id", "sketch", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    docs = dealt.select("value", "own", "salt", "id", "n", "c").join(most, "id")
+    blocks = written(spark, docs.groupBy("value", "own", "salt").agg(F.collect_list(F.struct("id", "n", "c", "most", "sketch")).alias("docs")), "blocks")
     order = lambda: F.struct(F.coalesce("own", F.lit(-(1 << 63)).cast("long")).alias("own"), "salt")
     left = blocks.select("value", F.col("own").alias("own_a"), order().alias("i"), F.col("docs").alias("da"))
     met = left.join(blocks.select("value", F.col("own").alias("own_b"), order().alias("j"), F.col("docs").alias("db")), "value")
@@ -240,6 +258,8 @@ def _block_pairs(k: int, percent: int):
                     fit = (x[2][p] != y[2]) & (100 * x[1][p] >= percent * y[1]) & (100 * y[1] >= percent * x[1][p])
                     if same.as_py():
                         fit[: p + 1] = False
+                    both = np.minimum(x[5][p], y[5])
+                    fit &= 100 * both >= percent * (x[1][p] + y[1] - both)
                     at = np.flatnonzero(fit)
                     if len(at):
                         shared = np.isin(y[3][at], x[3][p][: x[4][p]]).sum(1)
@@ -254,11 +274,11 @@ def _block_pairs(k: int, percent: int):
 
 
 def _block(docs: pa.Array, k: int) -> tuple[np.ndarray, ...]:
-    """Ids, sizes, components, sketches as rows (filled up with distinct values that no sketch holds) and their lengths."""
-    ids, n, c, sketch = (docs.field(x) for x in ("id", "n", "c", "sketch"))
+    """Ids, sizes, components, sketches as rows (filled up with distinct values that no sketch holds), their lengths, and the most shingles each can share."""
+    ids, n, c, most, sketch = (docs.field(x) for x in ("id", "n", "c", "most", "sketch"))
     rows = np.arange(-1, -1 - len(ids) * k, -1, np.int64).reshape(len(ids), k) + np.int64(np.iinfo(np.int64).min // 2)
     sizes = np.zeros(len(ids), np.int64)
     for i in range(len(ids)):
         s = sketch[i].values.to_numpy(zero_copy_only=False)
         rows[i, : len(s)], sizes[i] = s, len(s)
-    return ids.to_numpy(), n.to_numpy(), c.to_numpy(), rows, sizes
+    return ids.to_numpy(), n.to_numpy(), c.to_numpy(), rows, sizes, most.to_numpy()
