@@ -1,11 +1,488 @@
-"""The library's operators as queries with equivalent SQL."""
+"""The library's operators as queries over the tables, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from terrane.functions import numeric
+from terrane.operators import coders, metrics, predictors, quantizer
+from terrane.plans.config import preset
+from terrane.plans.pipeline import Pipeline
+from terrane.sources import container
+from terrane.sources.fields import coordinates, from_blocks, indexed, padded, to_blocks
+
+EB, RADIUS = 0.5, 256
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+# fields in SQL
+EV = "ev AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS idx, value AS v FROM events)"
+INTS = f"{EV}, xs AS (SELECT idx, CAST(round(v * 100) AS BIGINT) - 25000 AS v FROM ev)"
+SYM = "sy AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS idx, CAST(ascii(event_type) % 8 AS BIGINT) AS v FROM events)"
+GRID2 = "g AS (SELECT CAST(i - 1 AS BIGINT) AS x, CAST(vec_id AS BIGINT) AS y, CAST(embedding[i] AS DOUBLE) * 1000 AS v FROM embeddings, generate_series(1, 64) AS t(i)), gi AS (SELECT x, y, y * 64 + x AS idx, v, CAST(round(v) AS BIGINT) AS n FROM g)"
+GRID3 = f"{EV}, c AS (SELECT idx, idx % 10 AS x, (idx // 10) % 10 AS y, idx // 100 AS z, v, CAST(round(v * 100) AS BIGINT) - 25000 AS n FROM ev)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(_table(spark, sf_dir, "events"), "event_id", F.col("value").cast("double"))
+
+
+def ints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).select("idx", (F.round(F.col("v") * 100).cast("long") - 25000).alias("v"))
+
+
+def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(_table(spark, sf_dir, "events"), "event_id", (F.ascii("event_type") % 8).cast("long"))
+
+
+def grid2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("y"), F.posexplode("embedding").alias("x", "v"))
+    return rows.select(F.col("x").cast("long").alias("x"), "y", (F.col("y") * 64 + F.col("x")).alias("idx"), (F.col("v").cast("double") * 1000).alias("v"))
+
+
+def grid3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coordinates(events(spark, sf_dir), 10, 10)
+
+
+def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+
+
+# transforms
+
+ZZ = "CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END"
+
+
+@query(f"WITH {INTS} SELECT idx, v, {ZZ} AS code, v AS back FROM xs")
+def zigzag_roundtrip(spark, d):
+    rows = ints(spark, d).withColumn("code", numeric.zigzag(F.col("v"), 32))
+    return rows.withColumn("back", numeric.unzigzag(F.col("code")))
+
+
+@query(f"WITH {INTS} SELECT idx, v, xor((v + 2863311530) & 4294967295, 2863311530) AS code, v AS back FROM xs")
+def negabinary_roundtrip(spark, d):
+    rows = ints(spark, d).withColumn("code", numeric.negabinary(F.col("v"), 32))
+    return rows.withColumn("back", numeric.unnegabinary(F.col("code"), 32))
+
+
+@query(f"WITH {INTS} SELECT idx, v & 255 AS low8, v & 15 AS low4 FROM xs")
+def bit_width_restriction(spark, d):
+    return ints(spark, d).select("idx", numeric.low_bits(F.col("v"), 8).alias("low8"), numeric.low_bits(F.col("v"), 4).alias("low4"))
+
+
+@query(f"WITH {EV} SELECT idx, CAST(round(round(v) / 2) AS BIGINT) AS away, CAST(round_even(round(v) / 2, 0) AS BIGINT) AS even FROM ev")
+def rounding_rules(spark, d):
+    half = F.round("v") / 2
+    return events(spark, d).select("idx", numeric.half_away(half).cast("long").alias("away"), numeric.half_even(half).cast("long").alias("even"))
+
+
+# direct quantizer
+
+Q = "CAST(round_even(CAST(CAST(v AS FLOAT) * CAST(1.0 AS FLOAT) AS DOUBLE), 0) AS BIGINT)"
+QABS = f"q AS (SELECT idx, v, CASE WHEN abs({Q}) < 256 THEN {Q} END AS q FROM ev)"
+
+
+@query(f"WITH {EV}, {QABS} SELECT idx, q IS NULL AS is_outlier, coalesce(q & 65535, 0) AS code FROM q")
+def quant_abs_codes(spark, d):
+    return quantizer.quantize(events(spark, d), "abs", EB, RADIUS, code_bits=16).select("idx", "is_outlier", "code")
+
+
+@query(f"WITH {EV}, {QABS} SELECT idx, v FROM q WHERE q IS NULL")
+def quant_abs_outliers(spark, d):
+    return quantizer.outliers(quantizer.quantize(events(spark, d), "abs", EB, RADIUS))
+
+
+@query(f"WITH {EV}, {QABS} SELECT idx, coalesce(q * 2 * 0.5::DOUBLE, v) AS v FROM q")
+def quant_abs_reconstruct(spark, d):
+    rows = quantizer.quantize(events(spark, d), "abs", EB, RADIUS, code_bits=16)
+    return quantizer.dequantize(rows.select("idx", "code"), quantizer.outliers(rows), EB, code_bits=16)
+
+
+NOA = "b AS (SELECT CAST(0.001::FLOAT AS DOUBLE) * (max(v) - min(v)) AS eb FROM ev), qn AS (SELECT idx, v, eb, CAST(round_even(CAST(CAST(v AS FLOAT) * CAST(1.0::DOUBLE / (2.0::DOUBLE * eb) AS FLOAT) AS DOUBLE), 0) AS BIGINT) AS q FROM ev, b)"
+
+
+@query(f"WITH {EV}, {NOA} SELECT idx, {ZZ.replace('v', 'q')} AS code, round(q * 2 * eb, 6) AS v FROM qn")
+def quant_noa(spark, d):
+    rows = quantizer.quantize(events(spark, d), "noa", 1e-3, 32768, use_zigzag=True)
+    back = quantizer.dequantize(rows.select("idx", "code", "eb"), quantizer.outliers(rows), 0.0, use_zigzag=True)
+    return _rounded(rows.select("idx", "code").join(back, "idx"), "v")
+
+
+@query(f"WITH {EV}, qb AS (SELECT idx, CAST(round_even(CAST(CAST(v AS FLOAT) * CAST(1.0::DOUBLE / (2.0::DOUBLE * CAST(0.001::FLOAT AS DOUBLE) * 512) AS FLOAT) AS DOUBLE), 0) AS BIGINT) AS q FROM ev) SELECT idx, q AS code FROM qb")
+def quant_value_base(spark, d):
+    return quantizer.quantize(events(spark, d), "noa", 1e-3, 32768, base=512.0).select("idx", "code")
+
+
+@query(f"WITH {EV} SELECT idx, v >= 100 AS is_outlier, CASE WHEN v >= 100 THEN 0 ELSE {Q} END AS code FROM ev")
+def quant_threshold(spark, d):
+    return quantizer.quantize(events(spark, d), "abs", EB, 32768, threshold=100.0).select("idx", "is_outlier", "code")
+
+
+@query(f"WITH {EV}, {QABS} SELECT count(*) AS n, count(*) FILTER (WHERE q IS NULL) AS n_outliers, CAST(ceil(count(*) * 0.001::DOUBLE) AS BIGINT) AS capacity, greatest(count(*) FILTER (WHERE q IS NULL) - CAST(ceil(count(*) * 0.001::DOUBLE) AS BIGINT), 0) AS n_overflow FROM q")
+def outlier_stats(spark, d):
+    return quantizer.outlier_report(quantizer.quantize(events(spark, d), "abs", EB, RADIUS), 0.001)
+
+
+@query(f"WITH {EV}, {QABS} SELECT idx, v FROM q WHERE q IS NULL ORDER BY idx LIMIT 10")
+def outlier_strict_capacity(spark, d):
+    return quantizer.outliers(quantizer.quantize(events(spark, d), "abs", EB, RADIUS), 10)
+
+
+_E = numeric.as_float(1e-3)
+_STEP = 2 * math.log2(1 + _E)
+REL = f"rb AS (SELECT idx, v, CAST(round_even(log2(abs(v)) / {_STEP!r}::DOUBLE, 0) AS BIGINT) AS bin FROM ev WHERE v <> 0)"
+
+
+@query(f"WITH {EV}, {REL} SELECT idx, bin, ((abs(bin) << 2) | (CASE WHEN bin < 0 THEN 2 ELSE 0 END) | (CASE WHEN v < 0 THEN 1 ELSE 0 END)) + 1 AS code, round(pow(2::DOUBLE, bin * {_STEP!r}::DOUBLE), 6) AS back, true AS in_bound FROM rb")
+def quant_rel(spark, d):
+    rows = quantizer.quantize_rel(events(spark, d), 1e-3)
+    back = quantizer.dequantize_rel(rows, quantizer.outliers(rows), 1e-3).withColumnRenamed("v", "back")
+    ok = F.abs(F.col("back") - F.col("v")) <= 1.0001 * _E * F.abs("v")
+    return _rounded(rows.join(back, "idx").select("idx", "bin", "code", "back", ok.alias("in_bound")), "back")
+
+
+@query()
+def quant_in_place(spark, d):
+    codes = quantizer.in_place(events(spark, d), EB, RADIUS)
+    return quantizer.from_in_place(codes, EB, RADIUS)
+
+
+# predictors
+
+P1 = "p AS (SELECT idx, v, CAST(round(v) AS BIGINT) AS p FROM ev), dl AS (SELECT idx, v, p, p - coalesce(lag(p) OVER (PARTITION BY idx // 1024 ORDER BY idx), 0) AS delta FROM p)"
+
+
+def _fused(spark, d, **options):
+    return predictors.lorenzo_quantize(events(spark, d), 1, options.pop("mode", "abs"), options.pop("eb", EB), options.pop("radius", RADIUS), **options)
+
+
+@query(f"WITH {EV}, {P1} SELECT idx, delta, abs(delta) >= 256 AS is_outlier, CASE WHEN abs(delta) >= 256 THEN 0 ELSE {ZZ.replace('v', 'delta')} END AS code FROM dl")
+def lorenzo_quant_1d(spark, d):
+    return _fused(spark, d, use_zigzag=True).select("idx", "delta", "is_outlier", "code")
+
+
+def _restored(rows: DataFrame, dims: int, eb: float = EB) -> DataFrame:
+    place = [c for c in ("x", "y", "z") if c in rows.columns]
+    return predictors.lorenzo_reconstruct(rows.select("idx", "code", *place), rows.where("is_outlier").select("idx", "delta"), dims, eb)
+
+
+@query(f"WITH {EV}, {P1} SELECT idx, p, p * 1.0::DOUBLE AS v FROM dl")
+def lorenzo_quant_1d_inverse(spark, d):
+    return _restored(_fused(spark, d), 1).select("idx", "p", "v")
+
+
+@query(f"WITH {EV}, b AS (SELECT CAST(0.01::FLOAT AS DOUBLE) * (max(v) - min(v)) AS noa, CAST(0.01::FLOAT AS DOUBLE) * max(abs(v)) AS rel FROM ev) SELECT idx, CAST(round(v * (1.0::DOUBLE / (2.0::DOUBLE * noa))) AS BIGINT) AS p_noa, CAST(round(v * (1.0::DOUBLE / (2.0::DOUBLE * rel))) AS BIGINT) AS p_rel FROM ev, b")
+def lorenzo_quant_bounds(spark, d):
+    noa = _fused(spark, d, mode="noa", eb=0.01).select("idx", F.col("p").alias("p_noa"))
+    return noa.join(_fused(spark, d, mode="rel", eb=0.01).select("idx", F.col("p").alias("p_rel")), "idx")
+
+
+def _neighbours(key: str, axes: str, value: str) -> str:
+    """SQL of inclusion-exclusion over the neighbours of a tile, by joins on coordinates."""
+    rest, sign = [], {}
+    for m in range(1 << len(axes)):
+        at = [f"{a} - {m >> k & 1}" for k, a in enumerate(axes)]
+        sign[m] = (-1) ** bin(m).count("1")
+        rest.append(at)
+    terms = [f"coalesce({'' if s > 0 else '-'}n{m}.w, 0)" for m, s in sign.items() if m]
+    same = [" AND ".join([f"n{m}.{a} = a.{a} - {m >> k & 1}" for k, a in enumerate(axes)] + ([f"(a.{a}) // {key} = (a.{a} - {m >> k & 1}) // {key} AND a.{a} >= {m >> k & 1}" for k, a in enumerate(axes)] if key else [])) for m in range(1, 1 << len(axes))]
+    joins = " ".join(f"LEFT JOIN s n{m} ON {c}" for m, c in enumerate(same, 1))
+    return f"SELECT a.idx, a.w AS p, a.w + {' + '.join(terms)} AS delta FROM s a {joins}"
+
+
+@query(f"WITH {GRID2}, s AS (SELECT x, y, idx, n AS w FROM gi), t AS ({_neighbours('32', 'xy', 'n')}) SELECT idx, p, delta, abs(delta) >= 256 AS is_outlier FROM t")
+def lorenzo_quant_2d(spark, d):
+    rows = predictors.lorenzo_quantize(grid2(spark, d), 2, "abs", EB, RADIUS)
+    return _restored(rows, 2).select("idx", "p").join(rows.select("idx", "delta", "is_outlier"), "idx")
+
+
+@query(f"WITH {GRID3}, s AS (SELECT x, y, z, idx, CAST(round(v) AS BIGINT) AS w FROM c), t AS ({_neighbours('8', 'xyz', 'n')}) SELECT idx, p, delta, abs(delta) >= 256 AS is_outlier FROM t")
+def lorenzo_quant_3d(spark, d):
+    rows = predictors.lorenzo_quantize(grid3(spark, d), 3, "abs", EB, RADIUS)
+    return _restored(rows, 3).select("idx", "p").join(rows.select("idx", "delta", "is_outlier"), "idx")
+
+
+@query(f"WITH {INTS} SELECT idx, v - coalesce(lag(v) OVER (PARTITION BY idx // 256 ORDER BY idx), 0) AS delta, v AS back FROM xs")
+def lorenzo_1d(spark, d):
+    rows = predictors.lorenzo(ints(spark, d), 1, 32)
+    return rows.select("idx", "delta").join(predictors.unlorenzo(rows.select("idx", "delta"), 1, 32).select("idx", F.col("v").alias("back")), "idx")
+
+
+def _lossless(rows: DataFrame, dims: int) -> DataFrame:
+    out = predictors.lorenzo(rows, dims, 32)
+    back = predictors.unlorenzo(out.drop("v"), dims, 32).select("idx", F.col("v").alias("p"))
+    return out.select("idx", "delta").join(back, "idx")
+
+
+@query(f"WITH {GRID2}, s AS (SELECT x, y, idx, n AS w FROM gi), t AS ({_neighbours('', 'xy', 'n')}) SELECT idx, p, delta FROM t")
+def lorenzo_2d(spark, d):
+    return _lossless(grid2(spark, d).withColumn("v", F.round("v").cast("long")), 2)
+
+
+@query(f"WITH {GRID3}, s AS (SELECT x, y, z, idx, n AS w FROM c), t AS ({_neighbours('', 'xyz', 'n')}) SELECT idx, p, delta FROM t")
+def lorenzo_3d(spark, d):
+    return _lossless(coordinates(ints(spark, d), 10, 10), 3)
+
+
+@query(f"WITH {INTS} SELECT idx, v - coalesce(lag(v) OVER (ORDER BY idx), 0) AS d FROM xs")
+def diff_global(spark, d):
+    return predictors.difference(ints(spark, d), 0, 32)
+
+
+@query(f"WITH {INTS} SELECT idx, v - coalesce(lag(v) OVER (PARTITION BY idx // 512 ORDER BY idx), 0) AS d FROM xs")
+def diff_chunked(spark, d):
+    return predictors.difference(ints(spark, d), 512, 32)
+
+
+@query(f"WITH {EV} SELECT idx, round(v - coalesce(lag(v) OVER (ORDER BY idx), 0), 6) AS d FROM ev")
+def diff_float(spark, d):
+    return _rounded(predictors.difference(events(spark, d), 0, None), "d")
+
+
+@query(f"WITH {INTS}, df AS (SELECT idx, v - coalesce(lag(v) OVER (PARTITION BY idx // 512 ORDER BY idx), 0) AS d FROM xs) SELECT idx, xor((d + 2863311530) & 4294967295, 2863311530) AS d FROM df")
+def diff_negabinary(spark, d):
+    return predictors.difference(ints(spark, d), 512, 32, to_negabinary=True)
+
+
+@query(f"WITH {INTS} SELECT idx, v FROM xs")
+def diff_inverse(spark, d):
+    return predictors.undifference(predictors.difference(ints(spark, d), 0, 32, True), 0, 32, True)
+
+
+@query(f"WITH {INTS} SELECT idx, CAST(sum(v) OVER (ORDER BY idx) AS BIGINT) AS s FROM xs")
+def cumsum_global(spark, d):
+    return predictors.prefix_sum(ints(spark, d), "v", 512)
+
+
+# coders
+
+RUNS = f"{SYM}, ch AS (SELECT idx, v, CASE WHEN v IS DISTINCT FROM lag(v) OVER (ORDER BY idx) THEN 1 ELSE 0 END AS c FROM sy), ru AS (SELECT idx, v, sum(c) OVER (ORDER BY idx) - 1 AS run_id FROM ch), rn AS (SELECT CAST(run_id AS BIGINT) AS run_id, min(v) AS v, count(*) AS length FROM ru GROUP BY run_id)"
+
+
+@query(f"WITH {RUNS} SELECT run_id, v, length FROM rn")
+def rle_runs(spark, d):
+    return coders.rle(symbols(spark, d), 512)
+
+
+@query(f"WITH {SYM} SELECT idx, v FROM sy")
+def rle_decode(spark, d):
+    return coders.unrle(coders.rle(symbols(spark, d), 512))
+
+
+@query(f"WITH {RUNS} SELECT count(*) AS n_runs, 4 + (count(*) * 2 + 3) // 4 * 4 + 4 * count(*) AS n_bytes FROM rn")
+def rle_size(spark, d):
+    return coders.rle_size(coders.rle(symbols(spark, d), 512), 2)
+
+
+@query(f"WITH {SYM} SELECT idx // 2 AS at, CAST(sum((v & 15) << CAST((idx % 2) * 4 AS INT)) AS BIGINT) AS byte FROM sy GROUP BY 1")
+def bitpack_bytes(spark, d):
+    return coders.bitpack(symbols(spark, d), 4)
+
+
+@query(f"WITH {INTS} SELECT idx * 2 + b AS at, ((v & 65535) >> CAST(8 * b AS INT)) & 255 AS byte FROM xs, generate_series(0, 1) AS t(b)")
+def bitpack_wide(spark, d):
+    return coders.bitpack(ints(spark, d), 16)
+
+
+@query(f"WITH {SYM} SELECT idx, v & 15 AS v FROM sy")
+def bitunpack(spark, d):
+    rows = symbols(spark, d)
+    return coders.bitunpack(coders.bitpack(rows, 4), 4, rows.count())
+
+
+@query(f"WITH {SYM} SELECT max(v) AS max_v, CAST(CASE WHEN max(v) < 2 THEN 1 WHEN max(v) < 4 THEN 2 WHEN max(v) < 16 THEN 4 WHEN max(v) < 256 THEN 8 ELSE 16 END AS INT) AS nbits FROM sy")
+def bitpack_autodetect(spark, d):
+    return coders.detect_nbits(symbols(spark, d))
+
+
+def _codes16(spark, d):
+    return ints(spark, d).select("idx", numeric.mask(F.col("v"), 16).alias("v"))
+
+
+PL = "SELECT idx // 1024 AS block, (idx % 1024) // 32 AS word, 15 - k AS plane, CAST(sum(((v >> CAST(k AS INT)) & 1) << CAST(idx % 32 AS INT)) AS BIGINT) AS value FROM w, generate_series(0, 15) AS t(k) WHERE idx < (SELECT (max(idx) + 1) // 1024 * 1024 FROM w) GROUP BY 1, 2, 3"
+
+
+@query(f"WITH {INTS}, w AS (SELECT idx, v & 65535 AS v FROM xs) SELECT block, word, CAST(plane AS INT) AS plane, value FROM ({PL})")
+def bitshuffle_planes(spark, d):
+    return coders.bitshuffle(_codes16(spark, d), 2, 2048)
+
+
+@query(f"WITH {INTS}, w AS (SELECT idx, v & 65535 AS v FROM xs) SELECT idx, v FROM w")
+def bitshuffle_inverse(spark, d):
+    rows = _codes16(spark, d)
+    return coders.unbitshuffle(coders.bitshuffle(rows, 2, 2048), 2, 2048).unionByName(coders.bitshuffle_tail(rows, 2, 2048))
+
+
+def _sparse(spark, d):
+    """Bytes that are mostly zero: the low byte of a count where the event is large, else 0."""
+    return events(spark, d).select("idx", F.when(F.col("v") >= 100, F.floor("v").cast("long") % 256).otherwise(0).cast("long").alias("v"))
+
+
+BYTES = f"{EV}, bt AS (SELECT idx, CASE WHEN v >= 100 THEN CAST(floor(v) AS BIGINT) % 256 ELSE 0 END AS v FROM ev)"
+ZE = f"{BYTES}, r0 AS (SELECT idx // 16384 AS chunk, idx % 16384 AS i, CASE WHEN v <> 0 THEN 1 ELSE 0 END AS bit FROM bt), ks AS (SELECT DISTINCT chunk FROM r0), " + ", ".join(f"e{k} AS (SELECT chunk, i FROM ks, generate_series(0, {16384 >> (3 * k)} - 1) AS t(i)), m{k} AS (SELECT e.chunk, e.i, coalesce(sum(b.bit << CAST(b.i % 8 AS INT)), 0) AS b FROM e{k} e LEFT JOIN r{k - 1} b ON b.chunk = e.chunk AND b.i // 8 = e.i GROUP BY 1, 2), r{k} AS (SELECT chunk, i, CASE WHEN b <> coalesce(lag(b) OVER (PARTITION BY chunk ORDER BY i), 0) THEN 1 ELSE 0 END AS bit FROM m{k})" for k in (1, 2, 3)) + ", tt AS (SELECT chunk, CAST(sum(bit) AS BIGINT) AS n_nonzero, count(*) AS n FROM r0 GROUP BY 1), zz AS (SELECT tt.chunk, n_nonzero, n, " + ", ".join(f"(SELECT CAST(sum(bit) AS BIGINT) FROM r{k} WHERE r{k}.chunk = tt.chunk) AS kept{k}" for k in (1, 2, 3)) + " FROM tt), zs AS (SELECT chunk, n_nonzero, kept1, kept2, kept3, CASE WHEN n_nonzero = 0 THEN 2 WHEN n_nonzero + kept1 + kept2 + kept3 + 6 >= 16382 THEN n ELSE n_nonzero + kept1 + kept2 + kept3 + 6 END AS size FROM zz)"
+
+
+@query(f"WITH {ZE} SELECT * FROM zs")
+def rze_chunk_sizes(spark, d):
+    return coders.chunk_sizes(_sparse(spark, d))
+
+
+@query(f"WITH {ZE} SELECT chunk, size, CAST(8 + 4 * count(*) OVER () + sum(size) OVER (ORDER BY chunk) - size AS BIGINT) AS byte_offset, CAST((8 + 4 * count(*) OVER () + sum(size) OVER () + 3) // 4 * 4 AS BIGINT) AS total_bytes FROM zs")
+def rze_stream_offsets(spark, d):
+    return coders.stream_offsets(coders.chunk_sizes(_sparse(spark, d)).select("chunk", "size"))
+
+
+@query(f"WITH {BYTES} SELECT idx, v FROM bt")
+def rze_roundtrip(spark, d):
+    blocks = to_blocks(_sparse(spark, d), "<u1", coders.CHUNK)
+    return from_blocks(coders.restore_zeros(coders.eliminate_zeros(blocks)), "<u1", coders.CHUNK)
+
+
+@query(f"WITH {SYM} SELECT v AS symbol, count(*) AS freq FROM sy WHERE v BETWEEN 0 AND 7 GROUP BY 1")
+def code_histogram(spark, d):
+    return coders.histogram(symbols(spark, d), 8)
+
+
+@query(f"WITH {INTS} SELECT count(*) FILTER (WHERE v < 0 OR v >= 1024) AS n_out_of_range FROM xs")
+def huffman_range_check(spark, d):
+    return coders.out_of_range(ints(spark, d), 1024)
+
+
+@query()
+def huffman_codebook(spark, d):
+    book = coders.codebook(symbols(spark, d), 8)
+    return spark.createDataFrame([(s, n, c) for s, (n, c) in sorted(book.items())], "symbol long, length int, code long")
+
+
+@query()
+def huffman_encoded_sizes(spark, d):
+    rows = symbols(spark, d)
+    return coders.huffman(rows, coders.codebook(rows, 8)).select("block", "n", F.length("bytes").alias("n_bytes"))
+
+
+@query(f"WITH {SYM} SELECT idx, v FROM sy")
+def huffman_roundtrip(spark, d):
+    rows = symbols(spark, d)
+    book = coders.codebook(rows, 8)
+    return coders.unhuffman(coders.huffman(rows, book), book)
+
+
+# metrics
+
+
+def _recon(spark, d):
+    rows = _fused(spark, d)
+    return rows.select("idx", "v"), _restored(rows, 1).select("idx", "v")
+
+
+ERR = "er AS (SELECT idx, v AS o, round(v) AS r FROM ev), ag AS (SELECT count(*) AS n, avg((o - r) * (o - r)) AS mse, avg(abs(o - r)) AS mae, max(abs(o - r)) AS max_error, max(o) - min(o) AS value_range FROM er)"
+
+
+@query(f"WITH {EV}, {ERR} SELECT n, round(mse, 9) AS mse, round(sqrt(mse), 9) AS rmse, round(mae, 9) AS mae, round(max_error, 9) AS max_error, (SELECT min(idx) FROM er WHERE abs(o - r) = max_error) AS max_error_index, value_range, round(20 * log10(value_range) - 10 * log10(mse), 6) AS psnr, round(sqrt(mse) / value_range, 9) AS nrmse FROM ag")
+def recon_stats(spark, d):
+    out = metrics.reconstruction(*_recon(spark, d))
+    return _rounded(_rounded(out, "mse", "rmse", "mae", "max_error", "nrmse", digits=9), "psnr")
+
+
+@query("SELECT 100.0::DOUBLE AS percent_within")
+def percent_within(spark, d):
+    return metrics.within_bound(*_recon(spark, d), EB * 1.01)
+
+
+@query(f"WITH {EV}, {P1}, cn AS (SELECT delta, count(*) AS c FROM dl GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS n_symbols, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS bits_per_symbol FROM cn")
+def code_entropy(spark, d):
+    return _rounded(metrics.entropy(_fused(spark, d), "delta"), "bits_per_symbol")
+
+
+@query(f"WITH {EV}, {P1} SELECT delta AS value, count(*) AS n FROM dl WHERE abs(delta) <= 20 GROUP BY 1")
+def centred_histogram(spark, d):
+    return metrics.centred_histogram(_fused(spark, d), "delta", 20)
+
+
+@query(f"WITH {EV}, {P1}, sp AS (SELECT min(delta)::DOUBLE AS low, max(delta)::DOUBLE AS high FROM dl) SELECT CAST(least(floor((delta - low) * 16 / (high - low)), 15) AS BIGINT) AS bucket, count(*) AS n FROM dl, sp GROUP BY 1")
+def wide_histogram(spark, d):
+    return metrics.wide_histogram(_fused(spark, d), "delta", 16)
+
+
+@query(f"WITH {BYTES}, nb AS (SELECT count(*) AS n FROM bt) SELECT n AS raw_bytes, 2 * ((n + 1) // 2) AS packed_bytes, round(n / (2.0::DOUBLE * ((n + 1) // 2)), 6) AS ratio FROM nb")
+def compression_ratio(spark, d):
+    rows = _sparse(spark, d)
+    coded = to_blocks(rows, "<u1", 2).select("block", F.rpad(F.col("bytes"), 2, b"\0").alias("bytes"))
+    out = metrics.compression(rows.count(), coded).withColumnRenamed("coded_bytes", "packed_bytes")
+    return _rounded(out, "ratio")
+
+
+# sources, segments, pipelines
+
+SG = "sg AS (SELECT 0 AS segment, 4 * count(*) AS data_size FROM ev UNION ALL SELECT 1, 8 * count(*) FILTER (WHERE abs(delta) >= 256) FROM dl)"
+
+
+@query(f"WITH {EV}, {P1}, {SG} SELECT segment, data_size, CAST(32 + coalesce(sum((data_size + 15) // 16 * 16) OVER (ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM sg")
+def segment_manifest(spark, d):
+    rows = _fused(spark, d)
+    sizes = rows.select(F.lit(0).alias("segment"), F.lit(4).alias("w")).unionByName(rows.where("is_outlier").select(F.lit(1).alias("segment"), F.lit(8).alias("w")))
+    every = spark.range(2).select(F.col("id").cast("int").alias("segment"))
+    return container.layout(every.join(sizes, "segment", "left").groupBy("segment").agg(F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("data_size")))
+
+
+@query(f"WITH {EV}, n AS (SELECT count(*) AS n FROM ev) SELECT (n + 1023) // 1024 * 1024 AS padded, n AS original, CAST((SELECT count(*) FROM ev WHERE v = 0) + (n + 1023) // 1024 * 1024 - n AS BIGINT) AS zeros FROM n")
+def input_padding(spark, d):
+    rows = events(spark, d)
+    n = rows.count()
+    return padded(rows, n, 1024).agg(F.count(F.lit(1)).alias("padded"), F.count_if(F.col("idx") < n).alias("original"), F.count_if(F.col("v") == 0).alias("zeros"))
+
+
+def _preset(name: str, lossless_sql: str):
+    def run(spark, d):
+        rows = events(spark, d)
+        pipe = preset(name)
+        back = pipe.decompress(pipe.compress(rows))
+        span = rows.agg((F.max("v") - F.min("v")).alias("span"))
+        both = rows.join(back.select("idx", F.col("v").alias("r")), "idx").crossJoin(F.broadcast(span))  # one row
+        return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("v") - F.col("r")) > 1.01e-3 * F.col("span")).alias("n_beyond"))
+
+    run.__name__ = f"preset_{name}"
+    return query(lossless_sql)(run)
+
+
+for _name in ("cusz", "lorenzo_bitpack", "pfpl", "quantizer_lorenzo_bitpack", "speed"):
+    _preset(_name, "SELECT count(*) AS n, 0::BIGINT AS n_beyond FROM events")
+
+
+@query(f"WITH {EV}, {P1} SELECT 'codes' AS port, count(*) AS n FROM dl UNION ALL SELECT 'outliers', count(*) FILTER (WHERE abs(delta) >= 256) FROM dl")
+def pipeline_segments(spark, d):
+    from terrane.plans.pipeline import LorenzoQuant
+
+    pipe = Pipeline()
+    pipe.add("predict", LorenzoQuant(1, "abs", EB, RADIUS))
+    out = pipe.finalize().compress(events(spark, d))
+    first, second = (out.segments["predict", p].select(F.lit(p).alias("port")) for p in ("codes", "outliers"))
+    every = spark.createDataFrame([("codes",), ("outliers",)], "port string")
+    counts = first.unionByName(second).groupBy("port").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(counts, "port", "left").select("port", F.coalesce("n", F.lit(0)).alias("n"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
