@@ -158,7 +158,7 @@ class Merger:
 class Cache:
     """Strings to packed ids, in two generations of bounded size; what is used again comes back from the old one."""
 
-    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int = 300_000, longest: int = 48) -> None:
+    def __init__(self, make: Callable[[list[str]], list[bytes]], most: int = 150_000, longest: int = 48) -> None:
         self.make, self.most, self.longest = make, most, longest
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}

@@ -14,8 +14,15 @@ _fallback: dict[str, str] = {}
 WHITE = b" \t\n\x0b\x0c\r"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2000 rows and 16 MB, so that a Python worker's memory does not depend on how long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read through Spark's own readers only."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors."""
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.common import bounded_batches
+
 # Families of common languages by their two-letter codes.
 FAMILIES = {
     "germanic": ("de", "en", "nl", "sv", "da", "no", "nb", "is", "af"),
@@ -120,6 +122,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     numbers made from whole texts. Rows without a language or a text teach nothing. Without any labelled row the model knows no
     language and predicts ``und``.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
     share = F.lit(0)
