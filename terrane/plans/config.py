@@ -76,14 +76,14 @@ def from_chain(chain: str, mode: str = "rel", eb: float = 1e-3, radius: int = 32
 
 
 def preset(name: str, eb: float = 1e-3, mode: str = "noa", radius: int = 512) -> Pipeline:
-    """cusz, lorenzo_bitpack, pfpl, quantizer_lorenzo_bitpack, speed."""
+    """predict_huffman, lorenzo_bitpack, quantize_diff_zeros, quantizer_lorenzo_bitpack, speed."""
     predict = {"name": "predict", "type": "LorenzoQuant", "error_mode": mode, "error_bound": eb, "quant_radius": radius, "zigzag_codes": True}
     direct = {"name": "quantize", "type": "Quantizer", "error_mode": mode, "error_bound": eb, "quant_radius": 1 << 30, "zigzag_codes": False}
     after = lambda name, kind, source, **o: {"name": name, "type": kind, **o, "inputs": [{"from": source}]}
     stages = {
-        "cusz": [predict, after("code", "Huffman", "predict", bklen=2 * radius)],
+        "predict_huffman": [predict, after("code", "Huffman", "predict", bklen=2 * radius)],
         "lorenzo_bitpack": [predict, after("pack", "Bitpack", "predict", nbits=16)],
-        "pfpl": [direct, after("diff", "Difference", "quantize", negabinary=True), after("shuffle", "Bitshuffle", "diff"), after("zeros", "Rze", "shuffle")],
+        "quantize_diff_zeros": [direct, after("diff", "Difference", "quantize", negabinary=True), after("shuffle", "Bitshuffle", "diff"), after("zeros", "Rze", "shuffle")],
         "quantizer_lorenzo_bitpack": [direct, after("predict", "Lorenzo", "quantize"), after("zigzag", "Zigzag", "predict"), after("pack", "Bitpack", "zigzag", nbits=32)],
         "speed": [direct, after("shuffle", "Bitshuffle", "quantize"), after("zeros", "Rze", "shuffle")],
     }

@@ -463,7 +463,7 @@ def _preset(name: str, lossless_sql: str):
     return query(lossless_sql)(run)
 
 
-for _name in ("cusz", "lorenzo_bitpack", "pfpl", "quantizer_lorenzo_bitpack", "speed"):
+for _name in ("predict_huffman", "lorenzo_bitpack", "quantize_diff_zeros", "quantizer_lorenzo_bitpack", "speed"):
     _preset(_name, "SELECT count(*) AS n, 0::BIGINT AS n_beyond FROM events")
 
 

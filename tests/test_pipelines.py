@@ -16,7 +16,7 @@ def error(a, b):
     return a.join(b.withColumnRenamed("v", "r"), "idx").agg(F.max(F.abs(F.col("v") - F.col("r"))), F.count(F.lit(1))).first()
 
 
-@pytest.mark.parametrize("name", ["cusz", "lorenzo_bitpack", "pfpl", "speed"])
+@pytest.mark.parametrize("name", ["predict_huffman", "lorenzo_bitpack", "quantize_diff_zeros", "speed"])
 def test_presets_keep_their_bound(spark, name):
     rows, pipe = smooth(spark), config.preset(name, 1e-3)
     most, n = error(rows, pipe.decompress(pipe.compress(rows)))
@@ -65,7 +65,7 @@ def test_bad_graphs():
 
 
 def test_toml_round_trip(tmp_path):
-    pipe = config.preset("pfpl")
+    pipe = config.preset("quantize_diff_zeros")
     (tmp_path / "p.toml").write_text(config.dumps(pipe))
     again = config.load(str(tmp_path / "p.toml"))
     assert again.stages == pipe.stages and again.inputs == pipe.inputs
@@ -73,7 +73,7 @@ def test_toml_round_trip(tmp_path):
 
 
 def test_container(spark, tmp_path):
-    rows, pipe, path = smooth(spark, 2000), config.preset("cusz"), str(tmp_path / "c")
+    rows, pipe, path = smooth(spark, 2000), config.preset("predict_huffman"), str(tmp_path / "c")
     container.write(spark, pipe, pipe.compress(rows), path)
     most, n = error(rows, container.decompress(spark, path))
     assert n == 2000 and most <= 0.15
