@@ -166,13 +166,13 @@ def _agreeing(least: int):
     return run
 
 
-def _met(entries: DataFrame, keys: list[str], small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of corners from the buckets of at most ``small`` entries, and the entries of larger ones."""
-    sizes = entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    sized = entries.join(sizes, keys)
-    groups = sized.where(F.col("m") <= small).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("image", "corner"))).alias("all"))
+def _met(spark, entries: DataFrame, keys: list[str], small: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of corners from the buckets of at most ``small`` entries, and the entries of larger ones. Descriptors go only with the latter."""
+    sizes = written(spark, entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
+    sized = entries.select(*keys, "image", "corner").join(sizes.where(F.col("m") <= small).select(*keys), keys)
+    groups = sized.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("image", "corner"))).alias("all"))
     left = groups.select("all", F.posexplode("all").alias("at", "p")).select("p", F.explode(F.slice("all", F.col("at") + 2, F.lit(small))).alias("q"))
-    return left.where("p.image <> q.image"), sized.where(F.col("m") > small).drop("m")
+    return left.where("p.image <> q.image"), entries.join(sizes.where(F.col("m") > small).select(*keys), keys)
 
 
 def matched_images(images: DataFrame, least: int = 6, small: int = 24) -> DataFrame:
@@ -185,8 +185,8 @@ def matched_images(images: DataFrame, least: int = 6, small: int = 24) -> DataFr
     found = written(spark, images.select("image_id", "width", "height", "pixels").mapInArrow(_descriptors, f"image long, corner struct<{CORNER.replace(' float', ':float')}>, bits array<long>"), "descriptors")
     word = F.posexplode("bits").alias("table", "word")
     entries = found.select("image", "corner", "bits", word)
-    pairs, large = _met(entries, ["table", "word"], small)
-    more, larger = _met(large.withColumn("next", F.element_at("bits", F.pmod(F.col("table") + 1, F.lit(8)).cast("int") + 1)), ["table", "word", "next"], small)
+    pairs, large = _met(spark, entries, ["table", "word"], small)
+    more, larger = _met(spark, large.withColumn("next", F.element_at("bits", F.pmod(F.col("table") + 1, F.lit(8)).cast("int") + 1)), ["table", "word", "next"], small)
     same = larger.select("image", "corner", "bits").distinct()
     heads = same.groupBy("bits").agg(F.min(F.struct("image", "corner")).alias("p"))
     stars = same.join(heads, "bits").where("image <> p.image").select("p", F.struct("image", "corner").alias("q"))
