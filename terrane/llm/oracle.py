@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
+OP2 = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+      list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT k, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS gram FROM (SELECT k, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, gram) AS c FROM g) WHERE c > 1),
+c AS (SELECT k, count(DISTINCT i + o) AS n FROM r, range(0, 3) AS t(o) GROUP BY k),
+m AS (SELECT doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+      length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+      coalesce(c.n, 0) AS n_repeat_words, len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{L}'))) AS n_plain FROM w LEFT JOIN c USING (k)),
+b AS (SELECT *, n_words < 50 AS b0, 100 * n_repeat_words > 50 * n_words AS b1, 10 * n_symbols > 2 * n_words AS b2, 100 * n_dup_lines > 35 * n_lines AS b3,
+      word_chars < 2 * n_words AS b4, word_chars > 15 * n_words AS b5, 2 * n_plain > n_words AS b6 FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b0 OR b1 AS base_failed, NOT (b0 OR b1 OR b2 OR b3 OR b4 OR b5 OR b6) AS kept,
+       CAST(b0::INT + 2 * b1::INT + 4 * b2::INT + 8 * b3::INT + 16 * b4::INT + 32 * b5::INT + 64 * b6::INT AS BIGINT) AS failed_bits
+FROM b
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": OP2}
