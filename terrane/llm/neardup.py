@@ -234,25 +234,27 @@ def _long_lists(spark, long: DataFrame, links: DataFrame, reps: DataFrame, base:
     # shingles that no other of these documents has bound what one can share with any of them
     here = rest.select("id").distinct()
     alone = _full_sets(base, here, size).groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")).where("m = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    most = reps.join(here, "id").join(alone, "id", "left").select("id", "sketch", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
+    # a document's mixed lists, at most k: two documents are compared in the least one that both are in
+    held = rest.groupBy("id").agg(F.sort_array(F.collect_set("value")).alias("held"))
+    most = reps.join(held, "id").join(alone, "id", "left").select("id", "sketch", "held", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
     docs = dealt.select("value", "own", "salt", "id", "n", "c").join(most, "id")
-    blocks = written(spark, docs.groupBy("value", "own", "salt").agg(F.collect_list(F.struct("id", "n", "c", "most", "sketch")).alias("docs")), "blocks")
+    blocks = written(spark, docs.groupBy("value", "own", "salt").agg(F.collect_list(F.struct("id", "n", "c", "most", "sketch", "held")).alias("docs")), "blocks")
     order = lambda: F.struct(F.coalesce("own", F.lit(-(1 << 63)).cast("long")).alias("own"), "salt")
     left = blocks.select("value", F.col("own").alias("own_a"), order().alias("i"), F.col("docs").alias("da"))
     met = left.join(blocks.select("value", F.col("own").alias("own_b"), order().alias("j"), F.col("docs").alias("db")), "value")
     met = met.where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("own_a") == F.col("own_b"), F.lit(False)))
-    likely = met.select((F.col("i") == F.col("j")).alias("same"), "da", "db").mapInArrow(_block_pairs(k, percent), "a long, b long").distinct()
+    likely = met.select("value", (F.col("i") == F.col("j")).alias("same"), "da", "db").mapInArrow(_block_pairs(k, percent), "a long, b long").distinct()
     return links.unionByName(_verified(spark, likely, reps, base, size, k, percent))
 
 
 def _block_pairs(k: int, percent: int):
-    """Pairs of two blocks from different components whose union sketches are near the threshold, one for each pair of components at a time."""
+    """Pairs of two blocks, from different components and in no earlier list together, that share half of their sketches."""
     t = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for same, da, db in zip(*(batch.column(c) for c in ("same", "da", "db")), strict=True):
+            for value, same, da, db in zip(*(batch.column(c) for c in ("value", "same", "da", "db")), strict=True):
                 x, y = (_block(d.values, k) for d in (da, db))
                 for p in range(len(x[0])):
                     fit = (x[2][p] != y[2]) & (100 * x[1][p] >= percent * y[1]) & (100 * y[1] >= percent * x[1][p])
@@ -261,6 +263,9 @@ def _block_pairs(k: int, percent: int):
                     both = np.minimum(x[5][p], y[5])
                     fit &= 100 * both >= percent * (x[1][p] + y[1] - both)
                     at = np.flatnonzero(fit)
+                    if len(at):
+                        earlier = (y[6][at] < value.as_py()) & np.isin(y[6][at], x[6][p][: x[7][p]]) & (np.arange(y[6].shape[1]) < y[7][at, None])
+                        at = at[~earlier.any(1)]
                     if len(at):
                         shared = np.isin(y[3][at], x[3][p][: x[4][p]]).sum(1)
                         # half of the smaller sketch at least, by the same bound that the prefixes rest on
@@ -273,12 +278,17 @@ def _block_pairs(k: int, percent: int):
     return run
 
 
-def _block(docs: pa.Array, k: int) -> tuple[np.ndarray, ...]:
-    """Ids, sizes, components, sketches as rows (filled up with distinct values that no sketch holds), their lengths, and the most shingles each can share."""
-    ids, n, c, most, sketch = (docs.field(x) for x in ("id", "n", "c", "most", "sketch"))
-    rows = np.arange(-1, -1 - len(ids) * k, -1, np.int64).reshape(len(ids), k) + np.int64(np.iinfo(np.int64).min // 2)
-    sizes = np.zeros(len(ids), np.int64)
-    for i in range(len(ids)):
-        s = sketch[i].values.to_numpy(zero_copy_only=False)
+def _rows(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lists as rows of a matrix and their lengths; the rest of a row is filled with distinct values that hashes do not take."""
+    rows = np.arange(-1, -1 - len(lists) * width, -1, np.int64).reshape(len(lists), width) + np.int64(np.iinfo(np.int64).min // 2)
+    sizes = np.zeros(len(lists), np.int64)
+    for i in range(len(lists)):
+        s = lists[i].values.to_numpy(zero_copy_only=False)
         rows[i, : len(s)], sizes[i] = s, len(s)
-    return ids.to_numpy(), n.to_numpy(), c.to_numpy(), rows, sizes, most.to_numpy()
+    return rows, sizes
+
+
+def _block(docs: pa.Array, k: int) -> tuple[np.ndarray, ...]:
+    """Ids, sizes, components, sketches and their lengths, the most shingles each can share, the lists each is in and their number."""
+    ids, n, c, most, sketch, held = (docs.field(x) for x in ("id", "n", "c", "most", "sketch", "held"))
+    return ids.to_numpy(), n.to_numpy(), c.to_numpy(), *_rows(sketch, k), most.to_numpy(), *_rows(held, k)
