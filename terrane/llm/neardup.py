@@ -279,7 +279,7 @@ def _block_pairs(k: int, percent: int):
 
 
 def _rows(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lists as rows of a matrix and their lengths; the rest of a row is filled with distinct values that hashes do not take."""
+    """Lists as rows of a matrix and their lengths; the rest of a row is filled with distinct values, each a hash by chance only."""
     rows = np.arange(-1, -1 - len(lists) * width, -1, np.int64).reshape(len(lists), width) + np.int64(np.iinfo(np.int64).min // 2)
     sizes = np.zeros(len(lists), np.int64)
     for i in range(len(lists)):
