@@ -110,12 +110,27 @@ def chains(anchors: list[tuple[int, int]], k: int, cost: float = 0.25, max_gap:
     return found
 
 
+def _bounded(rows: Iterator[tuple[int, tuple]], kinds: dict[str, pa.DataType], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of about ``most`` numbers, however many rows come of one batch of documents; each row comes with its count."""
+    out, held = [], 0
+    for numbers, row in rows:
+        out.append(row)
+        held += numbers
+        if held >= most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=[*kinds])
+            out, held = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=[*kinds])
+
+
+_CHAIN = {"doc": pa.int64(), "first_doc": pa.int64(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32())}
+
+
 def _chained(k: int, reach: int):
     """Chains of each document; single anchors only where another chain is near, as nothing else can grow to a passage."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
         for batch in batches:
-            out: list[tuple] = []
             for doc, matches in zip(batch.column("doc").to_pylist(), batch.column("matches"), strict=True):
                 by: dict[int, list[tuple[int, int]]] = {}
                 fields = [matches.values.field(x).to_pylist() for x in ("first_doc", "at", "first_at")]
@@ -127,30 +142,26 @@ def _chained(k: int, reach: int):
                     near = a - end <= reach or (x + 1 < len(own) and own[x + 1][0] - b <= reach)
                     end = max(end, b)
                     if len(chain) > 1 or near:
-                        out.append((doc, other, [p for p, _ in chain], [q for _, q in chain]))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "first_doc", "a", "b"])
+                        yield 2 * len(chain) + 2, (doc, other, [p for p, _ in chain], [q for _, q in chain])
 
-    return run
+    return lambda batches: _bounded(rows(batches), _CHAIN)
 
 
 def _cut_out(reach: int):
     """The words of the document around each chain, as hashes, and how far in the chain begins."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
         for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                words = word_hashes(batch.column("text")[i].as_py().encode()).view(np.int64)
-                for c in batch.column("chains")[i].as_py():
-                    low = max(0, c["a"][0] - reach)
-                    out.append((batch.column("doc")[i].as_py(), c["first_doc"], c["a"], c["b"], low, words[low : c["a"][-1] + reach].tolist()))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32(), pa.list_(pa.int64()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc", "first_doc", "a", "b", "low", "words"])
-
-    return run
+            for doc, text, found in zip(*(batch.column(c) for c in ("doc", "text", "chains")), strict=True):
+                doc, words = doc.as_py(), word_hashes(text.as_py().encode()).view(np.int64)
+                others, firsts, seconds = (found.values.field(x) for x in ("first_doc", "a", "b"))
+                for i in range(len(others)):
+                    a, b = (side[i].values.to_numpy(zero_copy_only=False) for side in (firsts, seconds))
+                    low = max(0, int(a[0]) - reach)
+                    around = words[low : int(a[-1]) + reach]
+                    yield len(around) + 2 * len(a), (doc, others[i].as_py(), a, b, low, around)
+
+    return lambda batches: _bounded(rows(batches), _CHAIN | {"low": pa.int32(), "words": pa.list_(pa.int64())})
 
 
 def _equal_in_gap(x: np.ndarray, y: np.ndarray) -> int:
