@@ -1,8 +1,8 @@
 """Line dedup by distinct-site spread (operator 10).
 
 A line is boilerplate where it stands on many sites. Each line hash gets a HyperLogLog sketch of its sites, merged by aggregation; lines
-whose estimate is near the threshold get an exact distinct count. Boilerplate goes from every document in which it is the smaller part;
-a document made mostly of such lines is a copy of a whole document and is left to document-level dedup.
+whose estimate is near the threshold get an exact distinct count. Boilerplate goes from every document that has text of its own beside
+it; a document made of such lines (nearly) alone is a copy of a whole document and is left to document-level dedup.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Estimates within this share of the threshold are counted exactly: five standard errors of a sketch of 2^12 registers.
 NEAR = 0.08
 
+#: Two documents with this share of their text in common are 0.8 alike (s / (2 - s)): what near-dedup links, and all that may be left to it.
+COPIED = 8 / 9
+
 
 def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(line, r"[\x09-\x0D]", " "))
@@ -40,11 +43,11 @@ def line_spread(df: DataFrame, text_col: str = "text", site_col: str = "source",
     return wide.join(exact, "line", "left").select("line", "n_docs", F.coalesce("exact", "estimate").alias("n_sites")).where(F.col("n_sites") >= min_sites)
 
 
-def remove_boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = 5, max_share: float = 0.5) -> DataFrame:
+def remove_boilerplate(df: DataFrame, text_col: str = "text", site_col: str = "source", min_sites: int = 5, max_share: float = COPIED) -> DataFrame:
     """``df`` with its text cleaned, and ``n_lines`` and ``n_removed_lines``; columns of these names are replaced.
 
-    Lines are compared without white space at their ends. Of a document, its boilerplate lines go if they hold at most ``max_share`` of
-    its characters outside blank lines. Null texts stay null, empty ones empty; blank lines are never removed. Rows are told apart by
+    Lines are compared without white space at their ends. Of a document, its boilerplate lines go unless they hold more than
+    ``max_share`` of its characters outside blank lines: such a document is a copy that near-dedup links. Null texts stay null, empty ones empty; blank lines are never removed. Rows are told apart by
     all of their line hashes, so repeated rows and null ids are treated alike and each keeps its row.
     """
     rest = [c for c in df.columns if c.lower() not in ("n_lines", "n_removed_lines")]

@@ -230,6 +230,18 @@ def test_line_dedup(spark):
     assert lines.remove_boilerplate(odd(spark)).count() == len(ODD)
 
 
+def test_short_pages_lose_their_boilerplate_too(spark):
+    """Own text of 40 %, and of 20 %, beside lines of many sites; copies of a whole document with one word of their own stay."""
+    common = ["Header of the site with links", "Licence of all texts on these pages", "Footer with the address"]
+    size = sum(map(len, common))
+    pages = [(i, "\n".join([common[0], f"own {i} ".ljust(round(size * own / (1 - own)), "x"), *common[1:]]), None, f"s{i}", 0) for i, own in enumerate([0.4, 0.2] * 4)]
+    article = [f"Sentence {i} of an article that many sites have copied." for i in range(12)]
+    pages += [(100 + i, "\n".join([*article, f"seen {i}"]), None, f"s{i}", 0) for i in range(8)]
+    got = {r["doc_id"]: r for r in lines.remove_boilerplate(spark.createDataFrame(pages, DOC)).collect()}
+    assert all(got[i]["text"] == pages[i][1].split("\n")[1] and got[i]["n_removed_lines"] == 3 for i in range(8))
+    assert all(got[100 + i]["text"] == pages[8 + i][1] and got[100 + i]["n_removed_lines"] == 0 for i in range(8))
+
+
 def test_edited_images_are_found(spark):
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)] + [(40, [5.0, 1.0]), (41, None)], "vec_id long, embedding array<float>")
     got = {r["image_id"]: r["class_id"] for r in media.find_copies(media.drawn_images(vectors)).collect()}
