@@ -2,14 +2,13 @@
 
 Seeds are hashed k-mers of words, winnowed: every run of k + w - 1 equal words shares one. A seed that lies in several documents points
 every later document to its first occurrence (least document, then position), so a seed with n occurrences gives at most n - 1 matches.
-In each document, matches to one earlier document are chained in order of both positions, with costs for gaps, through a Fenwick tree;
+In each document, matches to one earlier document are chained in order of both positions, with costs for gaps;
 chains are aligned word by word, and what they cover together is merged to passages.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,39 +64,18 @@ def _seeds(k: int, window: int):
 def chains(anchors: list[tuple[int, int]], k: int, cost: float = 0.25, max_gap: int = 48) -> list[list[tuple[int, int]]]:
     """Collinear chains of (position, earlier position) anchors, best first, no anchor in two.
 
-    score(i) = k + max(0, score(j) - cost * gaps between j and i) over the j that lie before i on both sides; the maximum over all j is
-    a prefix maximum in a Fenwick tree over the second position, as the gap cost splits into a part of j and a part of i.
+    score(i) = k + max(0, score(j) - cost * gaps between j and i) over the j that lie before i by at most ``max_gap`` on both sides. A
+    position has one first occurrence, so there are at most ``max_gap`` such j, and each of them is tried.
     """
     anchors = sorted(set(anchors))
-    second = sorted({b for _, b in anchors})
-    tree: list[tuple[float, int]] = [(0.0, -1)] * (len(second) + 1)
-    score, parent = [0.0] * len(anchors), [-1] * len(anchors)
-    waiting: list[tuple[int, float, int]] = []
-
-    def flush() -> None:
-        for rank, value, i in waiting:
-            while rank < len(tree):
-                if value > tree[rank][0]:
-                    tree[rank] = (value, i)
-                rank += rank & -rank
-        waiting.clear()
-
-    last = None
+    score, parent = [float(k)] * len(anchors), [-1] * len(anchors)
     for i, (a, b) in enumerate(anchors):
-        if a != last:
-            flush()
-            last = a
-        rank = bisect_left(second, b) + 1
-        best, r = (0.0, -1), rank - 1
-        while r:
-            best = max(best, tree[r])
-            r -= r & -r
-        gain = best[0] - cost * (a + b)
-        if best[1] >= 0 and gain > 0 and a - anchors[best[1]][0] <= max_gap and b - anchors[best[1]][1] <= max_gap:
-            score[i], parent[i] = k + gain, best[1]
-        else:
-            score[i] = float(k)
-        waiting.append((rank, score[i] + cost * (a + b), i))
+        for j in range(i - 1, -1, -1):
+            u, v = anchors[j]
+            if a - u > max_gap:
+                break
+            if u < a and 0 < b - v <= max_gap and score[j] - cost * (a - u + b - v) > score[i] - k:
+                score[i], parent[i] = k + score[j] - cost * (a - u + b - v), j
     used, found = [False] * len(anchors), []
     for i in sorted(range(len(anchors)), key=lambda x: (-score[x], x)):
         chain = []

@@ -220,6 +220,18 @@ def test_chains_through_a_fenwick_tree():
     assert substrings.chains(line + noise, 8)[0] == line
 
 
+def test_two_passages_in_one_pair_of_documents(spark):
+    """A second passage, with four words put in, a hundred words after a long first one: each is chained and found."""
+    second = [(500 + 10 * i, 700 + 10 * i) for i in range(10)]
+    assert second in substrings.chains([(5 * i, 5 * i) for i in range(80)] + second, 8)
+    draw = random.Random(4)
+    some = lambda n: ["".join(draw.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    long, short = some(400), some(90)
+    first, later = [*some(10), *long, *some(100), *short], [*long, *some(100), *short[:45], *some(4), *short[45:]]
+    rows = substrings.repeated_passages(spark.createDataFrame([(1, " ".join(first)), (2, " ".join(later))], "doc_id long, text string")).collect()
+    assert [(r["start_word"], r["end_word"], r["n_equal_words"]) for r in sorted(rows, key=lambda r: r["start_word"])] == [(0, 400, 400), (500, 594, 90)]
+
+
 def test_line_dedup(spark):
     own = [(i, f"own line number {i} with enough words to be the larger part\nAll rights reserved.\n\nend {i}", None, f"s{i}", 0) for i in range(8)]
     copies = [(100 + i, "copied first line\ncopied second line", None, f"s{i}", 0) for i in range(8)]
