@@ -1,6 +1,7 @@
 """Substring dedup by collinear chaining (operator 9).
 
-Seeds are hashed k-mers of words, winnowed: every run of k + w - 1 equal words shares one. A seed that lies in several documents points
+Seeds are all hashed k-mers of words, with a k that every passage of the least length and identity must share (or winnowed ones, where a
+window is given: every run of k + w - 1 equal words shares one). A seed that lies in several documents points
 every later document to its first occurrence (least document, then position), so a seed with n occurrences gives at most n - 1 matches.
 In each document, matches to one earlier document are chained in order of both positions, with costs for gaps;
 chains are aligned word by word, and what they cover together is merged to passages.
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terrane.llm.common import written
@@ -27,6 +28,8 @@ PASSAGE = "doc_id long, start_word long, end_word long, n_words long, n_equal_wo
 def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     """Positions of all hashes that are the least of a window; of the one shorter window if there are fewer."""
     n = len(hashes)
+    if window == 1:
+        return np.arange(n)
     if n <= window:
         return np.flatnonzero(hashes == hashes.min()) if n else np.empty(0, np.int64)
 
@@ -104,22 +107,53 @@ def _bounded(rows: Iterator[tuple[int, tuple]], kinds: dict[str, pa.DataType], m
 _CHAIN = {"doc": pa.int64(), "first_doc": pa.int64(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32())}
 
 
-def _chained(k: int, reach: int):
-    """Chains of each document; single anchors only where another chain is near, as nothing else can grow to a passage."""
+def shared(min_words: int, identity: float) -> tuple[int, int]:
+    """k and how many k-mers of ``min_words`` words must lie in an equal run, with as many of the words changed as ``identity`` allows.
+
+    The changes leave runs, one more than changes, and the longest has at least their mean; each change takes k of the k-mers at most.
+    """
+    changes = int(min_words * (1 - identity) + 1e-9)
+    k = -(-(min_words - changes) // (changes + 1))
+    return k, max(1, min_words - k + 1 - k * changes)
+
+
+def _dense(at: np.ndarray, width: int, least: int) -> np.ndarray:
+    """Which of the sorted positions lie in some stretch of ``width`` that has ``least`` of them."""
+    first = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] < width)
+    marks = np.zeros(len(at) + 1, np.int64)
+    np.add.at(marks, first, 1)
+    np.add.at(marks, first + least, -1)
+    return marks.cumsum()[:-1] > 0
+
+
+def _thinned(other: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    """Of anchors that follow each other word by word on both sides, every k-th and the last: they cover the same words."""
+    order = np.lexsort((a, a - b, other))
+    other, a, d = other[order], a[order], (a - b)[order]
+    new = np.ones(len(a) + 1, bool)
+    new[1:-1] = (other[1:] != other[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)
+    at = np.arange(len(a))
+    return order[((at - np.maximum.accumulate(np.where(new[:-1], at, 0))) % k == 0) | new[1:]]
+
+
+def _chained(k: int, width: int, least: int):
+    """Chains of each document, of the anchors in a stretch that can be part of a passage: lone ones too, whatever documents the others point to."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
         for batch in batches:
             for doc, matches in zip(batch.column("doc").to_pylist(), batch.column("matches"), strict=True):
+                others, a, b = (matches.values.field(x).to_numpy(zero_copy_only=False) for x in ("first_doc", "at", "first_at"))
+                places = np.unique(a)
+                if len(places) < least:
+                    continue
+                kept = np.isin(a, places[_dense(places, width, least)])
+                others, a, b = others[kept], a[kept], b[kept]
+                kept = _thinned(others, a, b, k)
                 by: dict[int, list[tuple[int, int]]] = {}
-                fields = [matches.values.field(x).to_pylist() for x in ("first_doc", "at", "first_at")]
-                for other, a, b in zip(*fields, strict=True):
-                    by.setdefault(other, []).append((a, b))
-                own = sorted((c[0][0], c[-1][0] + k, other, c) for other, anchors in by.items() for c in chains(anchors, k))
-                end = -(1 << 40)
-                for x, (a, b, other, chain) in enumerate(own):
-                    near = a - end <= reach or (x + 1 < len(own) and own[x + 1][0] - b <= reach)
-                    end = max(end, b)
-                    if len(chain) > 1 or near:
+                for other, p, q in zip(others[kept].tolist(), a[kept].tolist(), b[kept].tolist(), strict=True):
+                    by.setdefault(other, []).append((p, q))
+                for other, anchors in by.items():
+                    for chain in chains(anchors, k, cost=k / 32):
                         yield 2 * len(chain) + 2, (doc, other, [p for p, _ in chain], [q for _, q in chain])
 
     return lambda batches: _bounded(rows(batches), _CHAIN)
@@ -224,23 +258,28 @@ def _merged(min_words: int, identity: float, slack: int):
     return run
 
 
-def repeated_passages(df: DataFrame, min_words: int = 50, k: int = 8, window: int = 16, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(df: DataFrame, min_words: int = 50, k: int | None = None, window: int = 1, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start_word, end_word, n_words, n_equal_words, sources: passages of each document that earlier documents (by id) have too.
 
-    A passage has at least ``min_words`` words and may differ in a few; ``sources`` are the documents whose passages it was aligned
+    A passage has at least ``min_words`` words, and at least ``identity`` of them are equal ones of its alignment. By default k is the one
+    that ``shared`` gives, and with all k-mers as seeds no passage of that identity is without anchors; a larger k or window misses some.
+    ``sources`` are the documents whose passages it was aligned
     with. The first document of a passage keeps it and has no row for it. Words are compared with A to Z lower-cased. Null ids and null,
     empty or short texts have no passages; rows with the same id count as one document and must have one text; other columns are
     ignored.
     """
     spark = df.sparkSession
     base = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
+    own_k, least = shared(min_words, identity)
+    k, least = (own_k, least) if k in (None, own_k) and window == 1 else (k or own_k, 1)
     seeds = base.mapInArrow(_seeds(k, window), "doc long, at int, seed long")
-    seeds = written(spark, seeds, "seeds")
-    firsts = seeds.groupBy("seed").agg(F.min(F.struct("doc", "at")).alias("first"), F.max("doc").alias("last_doc")).where("last_doc > first.doc").select("seed", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
-    matches = seeds.join(firsts, "seed").where("doc <> first_doc")
+    # all seeds pass one exchange, and a frame that only grows holds no group
+    earlier = Window.partitionBy("seed").orderBy("doc", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    firsts = seeds.select("doc", "at", F.first(F.struct("doc", "at")).over(earlier).alias("first"))
+    matches = firsts.where("doc <> first.doc").select("doc", "at", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
     by_doc = matches.groupBy("doc").agg(F.collect_set(F.struct("first_doc", "at", "first_at")).alias("matches"))
-    reach = k + window + 16
-    found = written(spark, by_doc.mapInArrow(_chained(k, reach), "doc long, first_doc long, a array<int>, b array<int>"), "chains")
+    reach = min_words
+    found = written(spark, by_doc.mapInArrow(_chained(k, min_words - k + 1, least), "doc long, first_doc long, a array<int>, b array<int>"), "chains")
     touched = found.select(F.explode(F.array("doc", "first_doc")).alias("doc")).distinct()
     if touched.count() <= BROADCAST_IDS:
         touched = F.broadcast(touched)
