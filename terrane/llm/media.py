@@ -166,31 +166,72 @@ def _agreeing(least: int):
     return run
 
 
-def _met(spark, entries: DataFrame, keys: list[str], small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of corners from the buckets of at most ``small`` entries, and the entries of larger ones. Descriptors go only with the latter."""
+def _met(spark, entries: DataFrame, keys: list[str], small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of corners from the buckets of at most ``small`` entries, the entries of larger ones, and the sizes of all. Descriptors go only with the latter."""
     sizes = written(spark, entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
     sized = entries.select(*keys, "image", "corner").join(sizes.where(F.col("m") <= small).select(*keys), keys)
     groups = sized.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("image", "corner"))).alias("all"))
     left = groups.select("all", F.posexplode("all").alias("at", "p")).select("p", F.explode(F.slice("all", F.col("at") + 2, F.lit(small))).alias("q"))
-    return left.where("p.image <> q.image"), entries.join(sizes.where(F.col("m") > small).select(*keys), keys)
+    return left.where("p.image <> q.image"), entries.join(sizes.where(F.col("m") > small).select(*keys), keys), sizes
+
+
+def _within(far: int):
+    """Pairs of corners in one block of a bucket (chunk i against chunk j) whose descriptors differ in ``far`` bits at most, each pair in the first table it shares."""
+
+    def run(block: pa.Table) -> pa.Table:
+        table, i, j = (block.column(c)[0].as_py() for c in ("table", "i", "j"))
+        block = block.sort_by("order").combine_chunks()
+        bits, chunk, image = (np.stack([block.column(f"b{x}").to_numpy() for x in range(8)], 1).astype(np.uint32), block.column("chunk").to_numpy(), block.column("image").to_numpy())
+        sides = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at in range(0, len(sides[0]), 256):
+            p = sides[0][at : at + 256]
+            apart, new = np.zeros((len(p), len(sides[1])), np.int16), np.ones((len(p), len(sides[1])), bool)
+            for x in range(8):
+                differ = bits[p, x][:, None] ^ bits[sides[1], x][None, :]
+                apart += np.bitwise_count(differ)
+                if x < table:
+                    new &= differ != 0
+            u, v = np.nonzero((apart <= far) & new & (image[p][:, None] != image[sides[1]][None, :]))
+            u, v = p[u], sides[1][v]
+            if i == j:
+                u, v = u[u < v], v[u < v]
+            left.append(u)
+            right.append(v)
+        out = {}
+        for side, rows in zip("pq", (np.concatenate(left), np.concatenate(right)), strict=True):
+            taken = block.take(pa.array(rows))
+            out |= {f"{side}_{c}": taken.column(c) for c in ("image", "x", "y", "scale", "angle")}
+        return pa.table(out)
+
+    return run
+
+
+def _near(large: DataFrame, sizes: DataFrame, far: int = 7, chunk: int = 1024) -> DataFrame:
+    """Pairs of corners of large buckets within a Hamming distance of ``far``: chunks of a bucket against each other, block by block, none left out."""
+    n = F.ceil(F.col("m") / chunk).cast("int")
+    flat = [F.element_at("bits", x + 1).alias(f"b{x}") for x in range(8)]
+    own = large.where("image is not null").join(sizes, ["table", "word"]).select("table", "word", "image", "corner.*", *flat, F.xxhash64("image", "corner").alias("order"), n.alias("n")).withColumn("chunk", F.pmod("order", "n").cast("int"))
+    blocks = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other", "n")
+    kinds = ", ".join(f"{s}_image long, " + ", ".join(f"{s}_{c}" for c in CORNER.split(", ")) for s in "pq")
+    found = blocks.groupBy("table", "word", "i", "j").applyInArrow(_within(far), kinds)
+    entry = lambda s: F.struct(F.col(f"{s}_image").alias("image"), F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("x", "y", "scale", "angle")]).alias("corner"))
+    return found.select(F.least(entry("p"), entry("q")).alias("p"), F.greatest(entry("p"), entry("q")).alias("q"))
 
 
 def matched_images(images: DataFrame, least: int = 6, small: int = 24) -> DataFrame:
     """a, b, n_corners: pairs of images (all with different pixels) at least ``least`` of whose corners follow one transform.
 
-    Buckets of more than ``small`` entries are told apart by the next word of the descriptor as well, and then by all of it; entries
-    that are equal in all of it point to the first of them.
+    In buckets of up to ``small`` entries all corners match. In larger ones those do that differ in 7 bits at most, however many they are,
+    and those that also agree in the next word where up to ``small`` do. So corners within 7 bits always match.
     """
     spark = images.sparkSession
     found = written(spark, images.select("image_id", "width", "height", "pixels").mapInArrow(_descriptors, f"image long, corner struct<{CORNER.replace(' float', ':float')}>, bits array<long>"), "descriptors")
     word = F.posexplode("bits").alias("table", "word")
     entries = found.select("image", "corner", "bits", word)
-    pairs, large = _met(spark, entries, ["table", "word"], small)
-    more, larger = _met(spark, large.withColumn("next", F.element_at("bits", F.pmod(F.col("table") + 1, F.lit(8)).cast("int") + 1)), ["table", "word", "next"], small)
-    same = larger.select("image", "corner", "bits").distinct()
-    heads = same.groupBy("bits").agg(F.min(F.struct("image", "corner")).alias("p"))
-    stars = same.join(heads, "bits").where("image <> p.image").select("p", F.struct("image", "corner").alias("q"))
-    every = pairs.unionByName(more).unionByName(stars).distinct()
+    pairs, large, sizes = _met(spark, entries, ["table", "word"], small)
+    more, _, _ = _met(spark, large.withColumn("next", F.element_at("bits", F.pmod(F.col("table") + 1, F.lit(8)).cast("int") + 1)), ["table", "word", "next"], small)
+    every = pairs.unionByName(more).unionByName(_near(large, sizes)).distinct()
     both = every.groupBy(F.col("p.image").alias("a"), F.col("q.image").alias("b")).agg(F.collect_list(F.struct(F.col("p.corner").alias("p"), F.col("q.corner").alias("q"))).alias("matches"))
     return both.where(F.size("matches") >= least).mapInArrow(_agreeing(least), "a long, b long, n_corners long")
 

@@ -279,6 +279,14 @@ def test_edited_images_are_found(spark):
     assert got[80] == got[10] == 10 and len(set(got.values())) == 40
 
 
+def test_a_large_group_of_copies_is_linked_throughout(spark):
+    """30 copies that differ in brightness only: equal descriptors in every bucket, and a link for each pair."""
+    image = np.clip(media.draw(np.arange(3, dtype=np.float32)).astype(np.int64), 40, 200)
+    rows = [(i, 96, 96, bytearray((image + i).astype(np.uint8).tobytes())) for i in range(30)]
+    got = media.find_copies(spark.createDataFrame(rows, media.IMAGE)).collect()
+    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 29)}
+
+
 def test_every_odd_table_passes(spark):
     rows = odd(spark)
     for f in (neardup.near_duplicates, substrings.repeated_passages):
