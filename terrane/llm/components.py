@@ -12,7 +12,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """node and component (the smallest node reachable) of every node that has a link. ``links`` has long columns a and b.
 
     Each round is written to the shared folder; the driver sees two numbers of it. Nothing depends on a node's number of links: stars are
-    formed by a minimum, summed before the exchange, and a join that Spark may split.
+    formed by a minimum, summed before the exchange, and a join that Spark may split. Links with a null end are none. Components that
+    still change after ``rounds`` rounds are an error, never a result.
     """
     spark = links.sparkSession
     edges = written(spark, links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
@@ -28,4 +29,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

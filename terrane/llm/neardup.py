@@ -8,6 +8,10 @@ Which retained values make lists: two linked documents share, but for a chance b
 smallest of the union lie in both with a chance of 0.8 each). So they share one among each one's k/2 + 1 rarest values, whatever the
 order, if both use the same; sets within k values are whole in the sketch, and there the prefix that must be shared is exact. Values are
 ordered by how many documents retain them, rarest first, which keeps common passages out of the lists.
+
+No list gives all its pairs. The most typical document of a list is its head, and lists of one head are one group. Each member meets the
+head: a star, as many pairs as memberships. What that leaves in several components is compared on full sets in blocks, and a block gives
+only as many links as join components.
 """
 
 from __future__ import annotations
@@ -118,37 +122,25 @@ def _estimates(k: int, percent: int):
     return run
 
 
-def _exact(size: int, percent: int):
-    """Keeps pairs whose full sets reach the threshold. Pairs come in order of a, whose set is kept for the next pair."""
+def _full_sets(base: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """id, shingles: the full sets of the documents named, as they are compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = None, None
         for batch in batches:
-            step = max(1, min(batch.num_rows, batch.num_rows * (8 << 20) // max(1, batch.nbytes)))
+            step = max(1, min(batch.num_rows, batch.num_rows * (4 << 20) // max(1, batch.nbytes)))
             for part in (batch.slice(at, step) for at in range(0, batch.num_rows, step)):
-                keep = []
-                for i in range(part.num_rows):
-                    a = part.column("a")[i].as_py()
-                    if a != last:
-                        last, own = a, shingle_set(part.column("ta")[i].as_py().encode(), size)
-                    keep.append(similar(own, shingle_set(part.column("tb")[i].as_py().encode(), size), percent))
-                yield pa.RecordBatch.from_arrays([part.column("a").filter(pa.array(keep, pa.bool_())), part.column("b").filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
-
-    return run
+                sets = [shingle_set(t.as_py(), size).view(np.int64) for t in part.column(1).cast(pa.binary())]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], names=["id", "shingles"])
 
+    return _named(base, ids).mapInArrow(run, "id long, shingles array<long>")
 
-def _full_sets(base: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """id, value: the full sets of the documents named."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                s = shingle_set(batch.column(1)[i].as_py().encode(), size).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), batch.column(0)[i].as_py(), np.int64)), pa.array(s)], names=["id", "value"])
 
+def _named(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the documents named."""
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return base.where("text is not null").join(ids, "id").dropDuplicates(["id"]).select("id", "text").mapInArrow(run, "id long, value long")
+    return base.where("text is not null").join(ids, "id").dropDuplicates(["id"]).select("id", "text")
 
 
 def _lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -164,35 +156,151 @@ def _lists(reps: DataFrame, k: int, percent: int) -> DataFrame:
     return ranked.select("id", "n", "typical", F.explode(F.slice("values", F.lit(1), left)).alias("v")).select("v.value", "id", "n", "typical")
 
 
-def _pairs_in_lists(lists: DataFrame, percent: int, small: int) -> DataFrame:
-    """Pairs of the lists with at most ``small`` documents: each document with the later ones, sizes permitting."""
-    groups = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.array_sort(F.collect_list(F.struct("id", "n"))).alias("docs")).where("m > 1")
-    a = groups.select(F.posexplode("docs").alias("at", "a"), "docs")
-    b = a.select("a", F.explode(F.slice("docs", F.col("at") + 2, F.lit(small))).alias("b"))
-    fits = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
-    return b.where(fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+def _groups(spark, lists: DataFrame) -> DataFrame:
+    """head, head_n, id, n: the other members of all lists that have one head, each once."""
+    least_last = F.struct("typical", (-F.col("id")).alias("order"), F.col("n").alias("n"))
+    heads = written(spark, lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.max(least_last).alias("h")).where("m > 1").select("value", (-F.col("h.order")).alias("head"), F.col("h.n").alias("head_n")), "heads")
+    return written(spark, lists.select("value", "id", "n").join(heads, "value").where("id <> head").select("head", "head_n", "id", "n").distinct(), "groups")
+
+
+def _fits(a: str, b: str, percent: int):
+    return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
+
+
+def _stars(size: int, percent: int):
+    """Links of a head with its members: rows come by head, its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own = None, None
+        for batch in batches:
+            a, b = [], []
+            for h, member, i, text in zip(*(batch.column(c) for c in ("head", "member", "id", "text")), strict=True):
+                s = shingle_set(text.as_py().encode(), size)
+                if not member.as_py():
+                    head, own = h.as_py(), s
+                elif similar(own, s, percent):
+                    a.append(head)
+                    b.append(i.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
 
+def _star_links(spark, groups: DataFrame, reps: DataFrame, base: DataFrame, size: int, k: int, percent: int, share: int = 256) -> DataFrame:
+    """a, b: heads and those of their members that reach the threshold on full sets, after the estimate. Each text passes the exchange once for
+    each of its heads, a head's own once for every ``share`` members, so that a large group is spread."""
+    side = lambda s: reps.select(F.col("id").alias(s), F.col("sketch").alias(f"s{s}"))
+    pairs = groups.where(_fits("n", "head_n", percent)).select(F.col("head").alias("a"), F.col("id").alias("b"))
+    likely = written(spark, pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimates(k, percent), "a long, b long"), "likely")
+    texts = written(spark, _named(base, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
+    widths = likely.groupBy(F.col("a").alias("head")).agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("w"))
+    members = likely.withColumnRenamed("a", "head").join(widths, "head").select("head", F.pmod(F.xxhash64("b"), "w").cast("int").alias("salt"), F.lit(1).alias("member"), F.col("b").alias("id"))
+    own = widths.select("head", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("head").alias("id"))
+    rows = members.unionByName(own).join(texts, "id")
+    return rows.repartition("head", "salt").sortWithinPartitions("head", "salt", "member").select("head", "member", "id", "text").mapInArrow(_stars(size, percent), "a long, b long")
+
+
+def _counts(a: list[np.ndarray], b: list[np.ndarray], dense: int = 64, width: int = 2048) -> np.ndarray:
+    """How many values each set of ``a`` shares with each of ``b``. Common values are counted by products of 0-1 matrices, others one by one."""
+    sides = []
+    for sets in (a, b):
+        values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        sides.append((values, inverse, np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
+    _, xa, xb = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
+    at = []
+    for (values, inverse, owner), x in zip(sides, (xa, xb), strict=True):
+        column = np.full(len(values), -1)
+        column[x] = np.arange(len(x))
+        column = column[inverse]
+        order = np.flatnonzero(column >= 0)
+        order = order[np.argsort(column[order], kind="stable")]
+        at.append((column[order], owner[order], np.bincount(column[order], minlength=len(x))))
+    out = np.zeros((len(a), len(b)), np.float32)
+    heavy = at[0][2] * at[1][2] > dense
+    # values in few sets: every pair of their owners
+    light = [(c[~heavy[c]], o[~heavy[c]]) for c, o, _ in at]
+    if len(light[0][0]):
+        n_b = at[1][2][light[0][0]]
+        start = np.searchsorted(light[1][0], light[0][0])
+        left = np.repeat(light[0][1], n_b)
+        right = light[1][1][np.repeat(start, n_b) + np.arange(n_b.sum()) - np.repeat(np.cumsum(n_b) - n_b, n_b)]
+        out += np.bincount(left * len(b) + right, minlength=out.size).reshape(out.shape)
+    number = np.cumsum(heavy) - 1
+    columns = [(number[c[heavy[c]]], o[heavy[c]]) for c, o, _ in at]
+    for low in range(0, int(heavy.sum()), width):
+        matrices = []
+        for (c, o), n in zip(columns, (len(a), len(b)), strict=True):
+            x = np.zeros((n, width), np.float32)
+            here = slice(*np.searchsorted(c, (low, low + width)))
+            x[o[here], c[here] - low] = 1
+            matrices.append(x)
+        out += matrices[0] @ matrices[1].T
+    return out.astype(np.int64)
+
+
+def _block_links(percent: int):
+    """Links of two blocks (or within one) on full sets, as links of components: no more than join them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sides = []
+        for docs in table.column("docs"):
+            v = docs.values
+            sets = v.field("shingles")
+            sides.append((v.field("c").to_numpy(), [sets[i].values.to_numpy(zero_copy_only=False) for i in range(len(sets))]))
+        (ca, a), (cb, b) = sides[0], sides[-1]
+        both = _counts(a, b)
+        n_a, n_b = (np.array([len(s) for s in x]) for x in (a, b))
+        linked = (100 * both >= percent * (n_a[:, None] + n_b[None, :] - both)) & (ca[:, None] != cb[None, :])
+        u, v = np.nonzero(linked)
+        pairs = np.unique(np.stack((np.minimum(ca[u], cb[v]), np.maximum(ca[u], cb[v])), 1), axis=0) if len(u) else np.empty((0, 2), np.int64)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in pairs.tolist():
+            x, y = root(x), root(y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((min(x, y), max(x, y)))
+        return pa.table({s: pa.array([r[i] for r in out], pa.int64()) for i, s in enumerate("ab")})
 
-def _verified(spark, pairs: DataFrame, sketched: DataFrame, texts: DataFrame, size: int, k: int, percent: int) -> DataFrame:
-    """The pairs that pass the estimate and the full sets."""
-    side = lambda s: sketched.select(F.col("id").alias(s), F.col("sketch").alias(f"s{s}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimates(k, percent), "a long, b long")
-    likely = written(spark, likely, "likely")
-    touched = written(spark, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "touched")
-    if touched.count() <= BROADCAST_IDS:
-        touched = F.broadcast(touched)
-    some = written(spark, texts.join(touched, "id").dropDuplicates(["id"]), "texts")
-    side = lambda s: some.select(F.col("id").alias(s), F.col("text").alias(f"t{s}"))
-    full = likely.join(side("b"), "b").join(side("a"), "a").sortWithinPartitions("a")
-    return full.mapInArrow(_exact(size, percent), "a long, b long")
+    return run
 
 
-def near_duplicates(df: DataFrame, size: int = 4, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text", small: int = 40) -> DataFrame:
+def _rest_links(spark, groups: DataFrame, found: DataFrame, base: DataFrame, size: int, percent: int, block: int = 512, block_shingles: int = 1 << 17) -> DataFrame:
+    """a, b: links between components of ``found`` within groups of three or more documents that the stars left in several."""
+    members = groups.select("head", "id", "n").unionByName(groups.select("head", F.col("head").alias("id"), F.col("head_n").alias("n")).distinct())
+    placed = members.join(found, F.col("id") == F.col("node"), "left").select("head", "id", "n", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("head").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("x"), F.max("c").alias("y")).where("m > 2 and x <> y").select("head")
+    rest = written(spark, placed.join(mixed, "head"), "rest")
+    sets = written(spark, _full_sets(base, rest.select("id").distinct(), size), "sets")
+    # a shingle that no other of these documents has can't be shared: who has too many of them can't be linked here
+    alone = sets.select("id", F.explode("shingles").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")).where("m = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    able = rest.join(alone, "id", "left").where((F.col("n") - F.coalesce("alone", F.lit(0))) * 100 >= F.col("n") * percent).select("head", "id", "n", "c")
+    # a component with many members in a group has blocks of its own there, which don't meet each other; the others share blocks
+    many = able.groupBy("head", "c").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= block // 2).select("head", "c", F.col("c").alias("own"))
+    dealt = able.join(many, ["head", "c"], "left").withColumn("own", F.coalesce("own", F.lit(-(1 << 63)).cast("long")))
+    widths = dealt.groupBy("head", "own").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("w"))
+    blocks = dealt.join(widths, ["head", "own"]).withColumn("block", F.struct("own", F.pmod(F.xxhash64("id", "head"), "w").cast("int").alias("salt"))).join(sets, "id")
+    blocks = written(spark, blocks.groupBy("head", "block").agg(F.collect_list(F.struct("c", "shingles")).alias("docs")), "blocks")
+    others = blocks.groupBy("head").agg(F.collect_list("block").alias("others"))
+    met = blocks.join(others, "head").select("head", "block", "docs", F.explode("others").alias("other"))
+    met = met.where((F.col("block.own") != F.col("other.own")) | (F.col("block.own") == F.lit(-(1 << 63)).cast("long")))
+    met = met.select("head", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "docs")
+    return met.groupBy("head", "i", "j").applyInArrow(_block_links(percent), "a long, b long").distinct()
+
+
+def near_duplicates(df: DataFrame, size: int = 4, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the components of all links of at least ``percent`` similarity.
 
-    Lists of up to ``small`` documents give all their pairs. In a longer list the most typical document meets all others; then, where
-    the members still lie in several components, blocks of sketches from different components are compared. Only pairs within one
-    component are left out, so no link that joins components is lost.
+    In each list the most typical document meets all others on full sets; where the members still lie in several components, documents of
+    different components are compared in blocks of ``block``. Pairs within one component are left out, and documents most of whose
+    shingles no other has, so no link that joins components is lost.
     Null or empty texts, and texts without words, have an empty set: no links, and a component of their own id. Ids must tell documents
     apart; rows with the same id and text are one document in links and still get a row each. A null id gets a null component.
     """
@@ -201,94 +309,11 @@ def near_duplicates(df: DataFrame, size: int = 4, percent: int = 80, k: int = 64
     sketched = written(spark, sketches(df, size, k, id_col, text_col), "sketches")
     classes = sketched.where("n > 0 and id is not null").groupBy("same").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     reps = written(spark, classes.select("same", "id", "n", "sketch"), "classes")
-    lists = written(spark, _lists(reps, k, percent), "lists")
-    lengths = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    sized = lists.join(lengths, "value")
-    pairs = _pairs_in_lists(sized.where(F.col("m") <= small), percent, small)
-    links = written(spark, _verified(spark, pairs, reps, base, size, k, percent), "links")
-    long = written(spark, sized.where(F.col("m") > small).select("value", "id", "n", "typical"), "long")
-    if not long.isEmpty():
-        links = _long_lists(spark, long, links, reps, base, size, k, percent)
-    found = components(links)
+    groups = _groups(spark, written(spark, _lists(reps, k, percent), "lists"))
+    found = components(written(spark, _star_links(spark, groups, reps, base, size, k, percent), "links"))
+    joined = components(_rest_links(spark, groups, found, base, size, percent, block))
+    joined = joined.select(F.col("node").alias("c"), F.col("component").alias("least"))
     ids = sketched.select("id", "n", "same")
     own = ids.join(reps.select("same", F.col("id").alias("rep")), "same", "left").join(found, F.col("rep") == F.col("node"), "left")
-    return own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
-
-
-def _long_lists(spark, long: DataFrame, links: DataFrame, reps: DataFrame, base: DataFrame, size: int, k: int, percent: int, block: int = 256) -> DataFrame:
-    """Links within long lists: stars first, then what still lies in several components, block by block."""
-    heads = long.groupBy("value").agg(F.max(F.struct("typical", (-F.col("id")).alias("order"), "id", "n")).alias("head"))
-    fits = (F.col("n") * 100 >= F.col("head.n") * percent) & (F.col("head.n") * 100 >= F.col("n") * percent)
-    stars = long.join(heads, "value").where(fits & (F.col("id") != F.col("head.id"))).select(F.least("head.id", "id").alias("a"), F.greatest("head.id", "id").alias("b")).distinct()
-    links = written(spark, links.unionByName(_verified(spark, stars, reps, base, size, k, percent)), "links")
-    members = long.select("id").distinct()
-    comp = members.join(components(links), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("c"))
-    placed = long.join(comp, "id")
-    mixed = placed.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("value")
-    # blocks of a list: a component with many members there has blocks of its own, the others share some; blocks of one component don't meet
-    rest = placed.join(mixed, "value").select("value", "id", "n", "c")
-    many = rest.groupBy("value", "c").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= block // 2).select("value", "c", F.col("c").alias("own"))
-    grouped = rest.join(many, ["value", "c"], "left")
-    width = grouped.groupBy("value", "own").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("w")).withColumnRenamed("value", "v").withColumnRenamed("own", "o")
-    dealt = grouped.join(width, (F.col("value") == F.col("v")) & F.col("own").eqNullSafe(F.col("o"))).withColumn("salt", F.pmod(F.xxhash64("id", "value"), F.col("w")).cast("int"))
-    # shingles that no other of these documents has bound what one can share with any of them
-    here = rest.select("id").distinct()
-    alone = _full_sets(base, here, size).groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("id")).where("m = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    # a document's mixed lists, at most k: two documents are compared in the least one that both are in
-    held = rest.groupBy("id").agg(F.sort_array(F.collect_set("value")).alias("held"))
-    most = reps.join(held, "id").join(alone, "id", "left").select("id", "sketch", "held", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("most"))
-    docs = dealt.select("value", "own", "salt", "id", "n", "c").join(most, "id")
-    blocks = written(spark, docs.groupBy("value", "own", "salt").agg(F.collect_list(F.struct("id", "n", "c", "most", "sketch", "held")).alias("docs")), "blocks")
-    order = lambda: F.struct(F.coalesce("own", F.lit(-(1 << 63)).cast("long")).alias("own"), "salt")
-    left = blocks.select("value", F.col("own").alias("own_a"), order().alias("i"), F.col("docs").alias("da"))
-    met = left.join(blocks.select("value", F.col("own").alias("own_b"), order().alias("j"), F.col("docs").alias("db")), "value")
-    met = met.where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("own_a") == F.col("own_b"), F.lit(False)))
-    likely = met.select("value", (F.col("i") == F.col("j")).alias("same"), "da", "db").mapInArrow(_block_pairs(k, percent), "a long, b long").distinct()
-    return links.unionByName(_verified(spark, likely, reps, base, size, k, percent))
-
-
-def _block_pairs(k: int, percent: int):
-    """Pairs of two blocks, from different components and in no earlier list together, that share half of their sketches."""
-    t = percent / 100
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for value, same, da, db in zip(*(batch.column(c) for c in ("value", "same", "da", "db")), strict=True):
-                x, y = (_block(d.values, k) for d in (da, db))
-                for p in range(len(x[0])):
-                    fit = (x[2][p] != y[2]) & (100 * x[1][p] >= percent * y[1]) & (100 * y[1] >= percent * x[1][p])
-                    if same.as_py():
-                        fit[: p + 1] = False
-                    both = np.minimum(x[5][p], y[5])
-                    fit &= 100 * both >= percent * (x[1][p] + y[1] - both)
-                    at = np.flatnonzero(fit)
-                    if len(at):
-                        earlier = (y[6][at] < value.as_py()) & np.isin(y[6][at], x[6][p][: x[7][p]]) & (np.arange(y[6].shape[1]) < y[7][at, None])
-                        at = at[~earlier.any(1)]
-                    if len(at):
-                        shared = np.isin(y[3][at], x[3][p][: x[4][p]]).sum(1)
-                        # half of the smaller sketch at least, by the same bound that the prefixes rest on
-                        at = at[shared * 2 >= np.minimum(x[4][p], y[4][at])]
-                        a += [x[0][p]] * len(at)
-                        b += y[0][at].tolist()
-            low, high = np.minimum(np.array(a, np.int64), np.array(b, np.int64)), np.maximum(np.array(a, np.int64), np.array(b, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
-
-    return run
-
-
-def _rows(lists: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lists as rows of a matrix and their lengths; the rest of a row is filled with distinct values, each a hash by chance only."""
-    rows = np.arange(-1, -1 - len(lists) * width, -1, np.int64).reshape(len(lists), width) + np.int64(np.iinfo(np.int64).min // 2)
-    sizes = np.zeros(len(lists), np.int64)
-    for i in range(len(lists)):
-        s = lists[i].values.to_numpy(zero_copy_only=False)
-        rows[i, : len(s)], sizes[i] = s, len(s)
-    return rows, sizes
-
-
-def _block(docs: pa.Array, k: int) -> tuple[np.ndarray, ...]:
-    """Ids, sizes, components, sketches and their lengths, the most shingles each can share, the lists each is in and their number."""
-    ids, n, c, most, sketch, held = (docs.field(x) for x in ("id", "n", "c", "most", "sketch", "held"))
-    return ids.to_numpy(), n.to_numpy(), c.to_numpy(), *_rows(sketch, k), most.to_numpy(), *_rows(held, k)
+    own = own.withColumn("c", F.coalesce("component", "rep", "id")).join(joined, "c", "left")
+    return own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("least", "c").alias("component_id"))

@@ -170,9 +170,9 @@ def brute_components(docs, size, percent):
     return {i: (len(sets[i]), root(i)) for i in sets}
 
 
-@pytest.mark.parametrize("small", [3, 40])
-def test_near_duplicates_equal_brute_force(spark, small):
-    """Short lists, and long ones that take stars and blocks; families of edited copies, and texts that differ by a word."""
+@pytest.mark.parametrize("block", [3, 512])
+def test_near_duplicates_equal_brute_force(spark, block):
+    """Stars, and one or many blocks; families of edited copies, and texts that differ by a word."""
     draw = random.Random(9)
     words = [f"w{i}" for i in range(400)]
     docs = []
@@ -185,7 +185,7 @@ def test_near_duplicates_equal_brute_force(spark, small):
             docs.append((len(docs), " ".join(copy)))
     docs += [(1000, None), (1001, ""), (1002, "only three words"), (1003, "ONLY three\nwords")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, small=small).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(df, block=block).collect()}
     assert got == brute_components(docs, 4, 80)
 
 
