@@ -1,10 +1,12 @@
 """Substring dedup by collinear chaining (operator 9).
 
-Seeds are all hashed k-mers of words, with a k that every passage of the least length and identity must share (or winnowed ones, where a
-window is given: every run of k + w - 1 equal words shares one). A seed that lies in several documents points
-every later document to its first occurrence (least document, then position), so a seed with n occurrences gives at most n - 1 matches.
-In each document, matches to one earlier document are chained in order of both positions, with costs for gaps;
-chains are aligned word by word, and what they cover together is merged to passages.
+Seeds are all hashed k-mers of words, with a k that every passage of the least length and identity must share. They pass one exchange,
+packed by bucket in some ten bytes each; a seed that lies in several documents points every later document to its first occurrence
+(least document, then position), so a seed with n occurrences gives at most n - 1 matches, and a frequent seed is reduced to its first
+occurrence before the exchange meets it.
+In each document, matches to one earlier document are chained in order of both positions, with costs for gaps, through a Fenwick tree.
+The words around both sides of a chain are cut out once for all chains that need them, and aligned; what one earlier document covers
+alone for long enough is a passage. Documents that are equal as a whole are one document from the start.
 """
 
 from __future__ import annotations
@@ -14,76 +16,153 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import written
-from terrane.llm.neardup import BROADCAST_IDS, grams, word_hashes
+from terrane.llm.neardup import grams, word_hashes
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 PASSAGE = "doc_id long, start_word long, end_word long, n_words long, n_equal_words long, sources array<long>"
+MATCH = "doc long, at int, first_doc long, first_at int"
+
+#: Windows begin and end at multiples of this many words, so that chains on one passage ask for the same one.
+GRID = 64
+
+
+def _packed(docs: np.ndarray, at: np.ndarray, seeds: np.ndarray) -> bytes:
+    """Entries in order of documents, by columns: each document and its count once, positions and 48-bit seeds in planes."""
+    first = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1 if len(docs) else 0))
+    counts = np.diff(np.append(first, len(docs)))
+    parts = [np.array([len(docs), len(first)], "<u4"), docs[first].astype("<i8"), counts.astype("<u4"), (at & 0xFFFF).astype("<u2"), (at >> 16).astype("<u2")]
+    parts += [(seeds & np.uint64(0xFFFFFFFF)).astype("<u4"), (seeds >> np.uint64(32) & np.uint64(0xFFFF)).astype("<u2")]
+    return b"".join(x.tobytes() for x in parts)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """docs, at and seeds of ``_packed``."""
+    n, d = np.frombuffer(blob, "<u4", 2).tolist()
+    place, out = 8, []
+    for kind, count in (("<i8", d), ("<u4", d), ("<u2", n), ("<u2", n), ("<u4", n), ("<u2", n)):
+        out.append(np.frombuffer(blob, kind, count, place))
+        place += out[-1].nbytes
+    ids, counts, low, high, s_low, s_high = out
+    return np.repeat(ids, counts), low.astype(np.int32) | high.astype(np.int32) << 16, s_low.astype(np.uint64) | s_high.astype(np.uint64) << np.uint64(32)
+
+
+def _seeds(k: int, buckets: int, most: int = 1 << 21):
+    """bucket, later, entries: the seeds of about ``most`` words at a time, those that are the first of their kind among these and the later ones."""
+
+    def flush(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        held.sort(key=lambda x: x[0])
+        seeds = np.concatenate([h for _, h in held])
+        docs = np.repeat(np.array([i for i, _ in held], np.int64), [len(h) for _, h in held])
+        at = np.concatenate([np.arange(len(h), dtype=np.int64) for _, h in held])
+        later = np.ones(len(seeds), np.int64)
+        later[np.unique(seeds, return_index=True)[1]] = 0
+        key = ((seeds >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * 2 + later
+        order = np.argsort(key, kind="stable")
+        key, docs, at, seeds = key[order], docs[order], at[order], seeds[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        blobs = [_packed(docs[a:b], at[a:b], seeds[a:b]) for a, b in zip(first, np.append(first[1:], len(key)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array((key[first] // 2).astype(np.int32)), pa.array((key[first] % 2).astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "later", "entries"])
 
-
-def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of all hashes that are the least of a window; of the one shorter window if there are fewer."""
-    n = len(hashes)
-    if window == 1:
-        return np.arange(n)
-    if n <= window:
-        return np.flatnonzero(hashes == hashes.min()) if n else np.empty(0, np.int64)
-
-    def sliding(x: np.ndarray, pick) -> np.ndarray:
-        width = 1
-        while width < window:
-            step = min(width, window - width)
-            x = pick(x[:-step], x[step:])
-            width += step
-        return x
-
-    least = sliding(hashes, np.minimum)
-    around = sliding(np.concatenate((np.zeros(window - 1, np.uint64), least, np.zeros(window - 1, np.uint64))), np.maximum)
-    return np.flatnonzero(hashes == around)
-
-
-def _seeds(k: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            ids, at, values = [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 words = word_hashes(t.as_py())
                 if len(words) >= k:
-                    h = grams(words, k)
-                    p = winnow(h, window)
-                    ids.append(np.full(len(p), i, np.int64))
-                    at.append(p.astype(np.int32))
-                    values.append(h[p].view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, at, values)], names=["doc", "at", "seed"])
+                    held.append((i, grams(words, k)))
+                    n += len(words)
+                if n >= most:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
 
+def _pointed(docs: np.ndarray, at: np.ndarray, first_docs: np.ndarray, first_at: np.ndarray, most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """Matches, where the first occurrence is in another document."""
+    other = docs != first_docs
+    columns = [docs[other], at[other].astype(np.int32), first_docs[other], first_at[other].astype(np.int32)]
+    for low in range(0, len(columns[0]), most):
+        yield pa.RecordBatch.from_arrays([pa.array(c[low : low + most]) for c in columns], names=["doc", "at", "first_doc", "first_at"])
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every seed's first occurrence, given to the others. A bucket holds its distinct seeds, of each task once; the later ones stream past."""
+    bucket, held, firsts = None, [], None
+
+    def settle() -> tuple[tuple, Iterator[pa.RecordBatch]]:
+        docs, at, seeds = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(seeds, kind="stable")
+        docs, at, seeds = docs[order], at[order], seeds[order]
+        new = np.flatnonzero(np.diff(seeds, prepend=seeds[0] + np.uint64(1)))
+        sizes = np.diff(np.append(new, len(seeds)))
+        least = np.minimum.reduceat(docs, new)
+        each = np.repeat(least, sizes)
+        place = np.minimum.reduceat(np.where(docs == each, at, np.int32(2**31 - 1)), new)
+        return (seeds[new], least, place), _pointed(docs, at, each, np.repeat(place, sizes))
+
+    for batch in batches:
+        for b, later, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if b != bucket:
+                if held:
+                    yield from settle()[1]
+                bucket, held, firsts = b, [], None
+            if not later:
+                held.append(_unpacked(blob.as_py()))
+                continue
+            if firsts is None:
+                firsts, out = settle()
+                yield from out
+                held = []
+            docs, at, seeds = _unpacked(blob.as_py())
+            found = np.searchsorted(firsts[0], seeds)
+            yield from _pointed(docs, at, firsts[1][found], firsts[2][found])
+    if held:
+        yield from settle()[1]
+
+
 def chains(anchors: list[tuple[int, int]], k: int, cost: float = 0.25, max_gap: int = 48) -> list[list[tuple[int, int]]]:
     """Collinear chains of (position, earlier position) anchors, best first, no anchor in two.
 
-    score(i) = k + max(0, score(j) - cost * gaps between j and i) over the j that lie before i by at most ``max_gap`` on both sides. A
-    position has one first occurrence, so there are at most ``max_gap`` such j, and each of them is tried.
+    score(i) = k + max(0, score(j) - cost * gaps between j and i) over all j that lie before i on both sides; a Fenwick tree over the
+    earlier positions holds the best score(j) + cost * (its positions). As costs add up along a way, an anchor between j and i on both
+    sides is always the better predecessor than j. A chain is cut where it steps over more than ``max_gap`` words on a side.
     """
     anchors = sorted(set(anchors))
-    score, parent = [float(k)] * len(anchors), [-1] * len(anchors)
-    for i, (a, b) in enumerate(anchors):
-        for j in range(i - 1, -1, -1):
-            u, v = anchors[j]
-            if a - u > max_gap:
-                break
-            if u < a and 0 < b - v <= max_gap and score[j] - cost * (a - u + b - v) > score[i] - k:
-                score[i], parent[i] = k + score[j] - cost * (a - u + b - v), j
+    rank = {b: r for r, b in enumerate(sorted({b for _, b in anchors}), 1)}
+    tree, owner = [float("-inf")] * (len(rank) + 1), [-1] * (len(rank) + 1)
+    score, parent, entered = [], [], 0
+    for a, b in anchors:
+        while anchors[entered][0] < a:
+            u, v = anchors[entered]
+            value, r = score[entered] + cost * (u + v), rank[v]
+            while r < len(tree) and tree[r] < value:
+                tree[r], owner[r] = value, entered
+                r += r & -r
+            entered += 1
+        best, j, r = float("-inf"), -1, rank[b] - 1
+        while r:
+            if tree[r] > best:
+                best, j = tree[r], owner[r]
+            r &= r - 1
+        gain = best - cost * (a + b)
+        score.append(k + max(0.0, gain))
+        parent.append(j if gain > 0 else -1)
     used, found = [False] * len(anchors), []
     for i in sorted(range(len(anchors)), key=lambda x: (-score[x], x)):
-        chain = []
+        chain: list[tuple[int, int]] = []
         while i >= 0 and not used[i]:
             used[i] = True
+            if chain and (chain[-1][0] - anchors[i][0] > max_gap or chain[-1][1] - anchors[i][1] > max_gap):
+                found.append(chain[::-1])
+                chain = []
             chain.append(anchors[i])
             i = parent[i]
         if chain:
@@ -104,7 +183,8 @@ def _bounded(rows: Iterator[tuple[int, tuple]], kinds: dict[str, pa.DataType], m
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=[*kinds])
 
 
-_CHAIN = {"doc": pa.int64(), "first_doc": pa.int64(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32())}
+_CHAIN = {"doc": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "first_doc": pa.int64(), "first_lo": pa.int32(), "first_hi": pa.int32(), "a": pa.list_(pa.int32()), "b": pa.list_(pa.int32())}
+CHAIN = "doc long, lo int, hi int, first_doc long, first_lo int, first_hi int, a array<int>, b array<int>"
 
 
 def shared(min_words: int, identity: float) -> tuple[int, int]:
@@ -136,44 +216,63 @@ def _thinned(other: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndar
     return order[((at - np.maximum.accumulate(np.where(new[:-1], at, 0))) % k == 0) | new[1:]]
 
 
-def _chained(k: int, width: int, least: int):
-    """Chains of each document, of the anchors in a stretch that can be part of a passage: lone ones too, whatever documents the others point to."""
+def _by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Matches that come in order of documents: each document with its columns."""
+    doc, held = None, []
+    for batch in batches:
+        columns = [batch.column(c).to_numpy() for c in ("doc", "first_doc", "at", "first_at")]
+        if not len(columns[0]):
+            continue
+        starts = np.flatnonzero(np.diff(columns[0], prepend=columns[0][0]))
+        for low, high in zip([0, *starts], [*starts, len(columns[0])], strict=True):
+            if held and columns[0][low] != doc:
+                yield doc, [np.concatenate(c) for c in zip(*held, strict=True)]
+                held = []
+            doc = int(columns[0][low])
+            held.append([c[low:high] for c in columns[1:]])
+    if held:
+        yield doc, [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+def _chained(k: int, width: int, least: int, reach: int):
+    """Chains of each document, of the anchors in a stretch that can be part of a passage, lone ones too; and the windows around them."""
+
+    def window(low: int, high: int) -> tuple[int, int]:
+        return max(0, low - reach) // GRID * GRID, -(-(high + k + reach) // GRID) * GRID
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
-        for batch in batches:
-            for doc, matches in zip(batch.column("doc").to_pylist(), batch.column("matches"), strict=True):
-                others, a, b = (matches.values.field(x).to_numpy(zero_copy_only=False) for x in ("first_doc", "at", "first_at"))
-                places = np.unique(a)
-                if len(places) < least:
-                    continue
-                kept = np.isin(a, places[_dense(places, width, least)])
-                others, a, b = others[kept], a[kept], b[kept]
-                kept = _thinned(others, a, b, k)
-                by: dict[int, list[tuple[int, int]]] = {}
-                for other, p, q in zip(others[kept].tolist(), a[kept].tolist(), b[kept].tolist(), strict=True):
-                    by.setdefault(other, []).append((p, q))
-                for other, anchors in by.items():
-                    for chain in chains(anchors, k, cost=k / 32):
-                        yield 2 * len(chain) + 2, (doc, other, [p for p, _ in chain], [q for _, q in chain])
+        for doc, (others, a, b) in _by_doc(batches):
+            places = np.unique(a)
+            if len(places) < least:
+                continue
+            kept = np.isin(a, places[_dense(places, width, least)])
+            others, a, b = others[kept], a[kept], b[kept]
+            kept = _thinned(others, a, b, k)
+            by: dict[int, list[tuple[int, int]]] = {}
+            for other, p, q in zip(others[kept].tolist(), a[kept].tolist(), b[kept].tolist(), strict=True):
+                by.setdefault(other, []).append((p, q))
+            for other, anchors in by.items():
+                for chain in chains(anchors, k, cost=k / 32):
+                    p, q = [x for x, _ in chain], [y for _, y in chain]
+                    yield 2 * len(chain) + 6, (doc, *window(p[0], p[-1]), other, *window(q[0], q[-1]), p, q)
 
     return lambda batches: _bounded(rows(batches), _CHAIN)
 
 
-def _cut_out(reach: int):
-    """The words of the document around each chain, as hashes, and how far in the chain begins."""
+_WINDOW = {"doc": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "words": pa.binary()}
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of a document in each of its windows, as 32-bit hashes."""
+
+    def rows() -> Iterator[tuple[int, tuple]]:
         for batch in batches:
-            for doc, text, found in zip(*(batch.column(c) for c in ("doc", "text", "chains")), strict=True):
-                doc, words = doc.as_py(), word_hashes(text.as_py().encode()).view(np.int64)
-                others, firsts, seconds = (found.values.field(x) for x in ("first_doc", "a", "b"))
-                for i in range(len(others)):
-                    a, b = (side[i].values.to_numpy(zero_copy_only=False) for side in (firsts, seconds))
-                    low = max(0, int(a[0]) - reach)
-                    around = words[low : int(a[-1]) + reach]
-                    yield len(around) + 2 * len(a), (doc, others[i].as_py(), a, b, low, around)
+            for doc, text, spans in zip(*(batch.column(c) for c in ("doc", "text", "spans")), strict=True):
+                doc, words = doc.as_py(), word_hashes(text.as_py().encode()).astype("<u4")
+                for lo, hi in sorted((x["lo"], x["hi"]) for x in spans.as_py()):
+                    yield hi - lo, (doc, lo, hi, words[lo:hi].tobytes())
 
-    return lambda batches: _bounded(rows(batches), _CHAIN | {"low": pa.int32(), "words": pa.list_(pa.int64())})
+    return _bounded(rows(), _WINDOW)
 
 
 def _equal_in_gap(x: np.ndarray, y: np.ndarray) -> int:
@@ -202,46 +301,62 @@ def _extend(x: np.ndarray, y: np.ndarray, drop: int = 6) -> tuple[int, int]:
     return far, int(same[:far].sum())
 
 
-def align(x: np.ndarray, a: list[int], y: np.ndarray, b: list[int], k: int) -> tuple[int, int, int]:
-    """Start, end and equal words in ``x`` of a chain with anchors a in x and b in y, its gaps aligned and its ends extended."""
-    equal, p, q = k, a[0] + k, b[0] + k
-    for u, v in zip(a[1:], b[1:], strict=True):
-        if u >= p and v >= q:
-            equal += _equal_in_gap(x[p:u], y[q:v]) + k
-        else:
-            equal += min(k, max(0, min(u + k - p, v + k - q)))
-        p, q = u + k, v + k
-    back, same = _extend(x[: a[0]][::-1], y[: b[0]][::-1])
-    on, more = _extend(x[p:], y[q:])
-    return a[0] - back, p + on, equal + same + more
+def _pieces(x: np.ndarray, a: list[int], y: np.ndarray, b: list[int], k: int, identity: float) -> Iterator[tuple[int, int, int]]:
+    """Start, end and equal words in ``x`` of the parts of a chain that are alike enough, ends extended.
 
+    Anchors a in x and b in y are aligned with the gaps between them. A chain that is not alike enough as a whole is cut at its worst gap.
+    """
+    ends = [(a[0], a[0] + k, int((x[a[0] : a[0] + k] == y[b[0] : b[0] + k]).sum()), b[0], b[0] + k)]
+    gaps = []  # words, equal words
+    for u, v in zip(a[1:], b[1:], strict=True):
+        p, q = ends[-1][1], ends[-1][4]
+        skip = max(0, p - u, q - v)  # of the anchor's words, those that the one before covers on either side
+        n = k - skip
+        same = int((x[u + skip : u + k] == y[v + skip : v + k]).sum()) if n > 0 else 0
+        s, t = u + min(skip, k), v + min(skip, k)
+        gaps.append((max(0, s - p), _equal_in_gap(x[p:s], y[q:t])))
+        ends.append((s, u + k, same, t, v + k))
+    stack = [(0, len(ends))]
+    while stack:
+        low, high = stack.pop()
+        back, same = _extend(x[: ends[low][0]][::-1], y[: ends[low][3]][::-1])
+        on, more = _extend(x[ends[high - 1][1] :], y[ends[high - 1][4] :])
+        start, end = ends[low][0] - back, ends[high - 1][1] + on
+        equal = same + more + sum(e[2] for e in ends[low:high]) + sum(g[1] for g in gaps[low : high - 1])
+        if equal >= identity * (end - start):
+            yield start, end, equal
+        elif high - low > 1:
+            worst = max(range(low, high - 1), key=lambda i: identity * gaps[i][0] - gaps[i][1])
+            stack += [(low, worst + 1), (worst + 1, high)]
+
+
+def _aligned(k: int, min_words: int, identity: float):
+    """Pieces of at least ``min_words`` words that one earlier document covers."""
 
-def _aligned(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, other, out = None, None, []
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in ("doc", "first_doc", "a", "b", "low", "words", "text")}
-                if row["first_doc"].as_py() != last:
-                    last, other = row["first_doc"].as_py(), word_hashes(row["text"].as_py().encode()).view(np.int64)
-                low = row["low"].as_py()
-                start, end, equal = align(row["words"].values.to_numpy(zero_copy_only=False), [p - low for p in row["a"].as_py()], other, row["b"].as_py(), k)
-                out.append((row["doc"].as_py(), last, start + low, end + low, equal))
+            out = []
+            columns = [batch.column(c).to_pylist() for c in ("doc", "first_doc", "lo", "first_lo", "a", "b", "words", "first_words")]
+            for doc, other, lo, first_lo, a, b, x, y in zip(*columns, strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                for start, end, equal in _pieces(x, [p - lo for p in a], y, [q - first_lo for q in b], k, identity):
+                    if end - start >= min_words:
+                        out.append((doc, other, start + lo, end + lo, equal))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "first_doc", "start", "end", "equal"])
 
     return run
 
 
-def _merged(min_words: int, identity: float, slack: int):
-    """Passages: pieces of one document that overlap or lie within ``slack`` words, if long and alike enough together."""
+def _merged(slack: int):
+    """Passages: pieces of one document that overlap or lie within ``slack`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc, pieces in zip(batch.column("doc").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
                 spans: list[list] = []
-                for p in sorted((p["start"], p["end"], p["equal"], p["first_doc"]) for p in pieces if p["equal"] >= identity * (p["end"] - p["start"])):
+                for p in sorted((p["start"], p["end"], p["equal"], p["first_doc"]) for p in pieces):
                     if spans and p[0] <= spans[-1][1] + slack:
                         own = spans[-1]
                         fresh = max(0, p[1] - max(p[0], own[1]))
@@ -250,7 +365,7 @@ def _merged(min_words: int, identity: float, slack: int):
                         own[3].add(p[3])
                     else:
                         spans.append([p[0], p[1], p[2], {p[3]}])
-                out += [(doc, a, b, b - a, min(e, b - a), sorted(s)) for a, b, e, s in spans if b - a >= min_words]
+                out += [(doc, a, b, b - a, min(e, b - a), sorted(s)) for a, b, e, s in spans]
             if out:
                 kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "start_word", "end_word", "n_words", "n_equal_words", "sources"])
@@ -258,37 +373,53 @@ def _merged(min_words: int, identity: float, slack: int):
     return run
 
 
-def repeated_passages(df: DataFrame, min_words: int = 50, k: int | None = None, window: int = 1, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start_word, end_word, n_words, n_equal_words, sources: passages of each document that earlier documents (by id) have too.
+def _whole(min_words: int):
+    """Copies of whole documents: one passage each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(t.as_py().split()) for t in batch.column("text").cast(pa.binary())]
+            rows = [(d, 0, m, m, m, [f]) for d, f, m in zip(batch.column("doc").to_pylist(), batch.column("first_doc").to_pylist(), n, strict=True) if m >= min_words]
+            if rows:
+                kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start_word", "end_word", "n_words", "n_equal_words", "sources"])
+
+    return run
+
+
+def repeated_passages(df: DataFrame, min_words: int = 50, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start_word, end_word, n_words, n_equal_words, sources: passages of each document that an earlier document (by id) has too.
 
-    A passage has at least ``min_words`` words, and at least ``identity`` of them are equal ones of its alignment. By default k is the one
-    that ``shared`` gives, and with all k-mers as seeds no passage of that identity is without anchors; a larger k or window misses some.
-    ``sources`` are the documents whose passages it was aligned
-    with. The first document of a passage keeps it and has no row for it. Words are compared with A to Z lower-cased. Null ids and null,
-    empty or short texts have no passages; rows with the same id count as one document and must have one text; other columns are
-    ignored.
+    A passage has at least ``min_words`` words that one earlier document has, at least ``identity`` of them equal ones of its alignment.
+    k is the one that ``shared`` gives: with all k-mers as seeds no passage of that identity is without anchors. Passages that overlap are
+    one; ``sources`` are the documents that they were aligned with. The first document of a passage keeps it and has no row for it, and a
+    document equal to an earlier one is one passage. Words are compared with A to Z lower-cased, by 32-bit hashes in alignments. Null ids
+    and null, empty or short texts have no passages; rows with the same id count as one document and must have one text; other columns
+    are ignored.
     """
     spark = df.sparkSession
     base = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).where("doc is not null and text is not null")
-    own_k, least = shared(min_words, identity)
-    k, least = (own_k, least) if k in (None, own_k) and window == 1 else (k or own_k, 1)
-    seeds = base.mapInArrow(_seeds(k, window), "doc long, at int, seed long")
-    # all seeds pass one exchange, and a frame that only grows holds no group
-    earlier = Window.partitionBy("seed").orderBy("doc", "at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    firsts = seeds.select("doc", "at", F.first(F.struct("doc", "at")).over(earlier).alias("first"))
-    matches = firsts.where("doc <> first.doc").select("doc", "at", F.col("first.doc").alias("first_doc"), F.col("first.at").alias("first_at"))
-    by_doc = matches.groupBy("doc").agg(F.collect_set(F.struct("first_doc", "at", "first_at")).alias("matches"))
-    reach = min_words
-    found = written(spark, by_doc.mapInArrow(_chained(k, min_words - k + 1, least), "doc long, first_doc long, a array<int>, b array<int>"), "chains")
-    touched = found.select(F.explode(F.array("doc", "first_doc")).alias("doc")).distinct()
-    if touched.count() <= BROADCAST_IDS:
-        touched = F.broadcast(touched)
-    texts = written(spark, base.join(touched, "doc").dropDuplicates(["doc"]), "texts")
-    own = found.groupBy("doc").agg(F.collect_list(F.struct("first_doc", "a", "b")).alias("chains")).join(texts, "doc")
-    cut = own.mapInArrow(_cut_out(reach), "doc long, first_doc long, a array<int>, b array<int>, low int, words array<long>")
-    both = cut.join(texts.withColumnRenamed("doc", "first_doc"), "first_doc")
-    pieces = both.mapInArrow(_aligned(k), "doc long, first_doc long, start long, end long, equal long")
-    return pieces.groupBy("doc").agg(F.collect_list(F.struct("first_doc", "start", "end", "equal")).alias("pieces")).mapInArrow(_merged(min_words, identity, 2), PASSAGE)
+    key = [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(3), "text").alias("h2")]
+    hashed = base.select("doc", *key)
+    copies = hashed.join(hashed.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1"), ["h1", "h2"]).where("doc <> first_doc")
+    copies = written(spark, copies.select("doc", "first_doc").distinct(), "copies")
+    whole = base.join(copies, "doc").dropDuplicates(["doc"]).mapInArrow(_whole(min_words), PASSAGE)
+    reps = base.join(copies.select("doc"), "doc", "left_anti")
+    k, least = shared(min_words, identity)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seeds = reps.select("doc", "text").mapInArrow(_seeds(k, 2 * parts), "bucket int, later int, entries binary")
+    seeds = seeds.repartitionById(parts, F.floor(F.col("bucket") / 2).cast("int")).sortWithinPartitions("bucket", "later")
+    matches = seeds.mapInArrow(_matches, MATCH).repartition("doc").sortWithinPartitions("doc")
+    found = written(spark, matches.mapInArrow(_chained(k, min_words - k + 1, least, min_words), CHAIN), "chains")
+    ends = F.array(F.struct("doc", "lo", "hi"), F.struct(F.col("first_doc").alias("doc"), F.col("first_lo").alias("lo"), F.col("first_hi").alias("hi")))
+    spans = found.select(F.explode(ends).alias("w")).select("w.*").distinct().groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    windows = reps.join(spans, "doc").select("doc", "text", "spans").mapInArrow(_windows, "doc long, lo int, hi int, words binary")
+    windows = written(spark, windows.dropDuplicates(["doc", "lo", "hi"]), "windows")
+    first = windows.select(F.col("doc").alias("first_doc"), F.col("lo").alias("first_lo"), F.col("hi").alias("first_hi"), F.col("words").alias("first_words"))
+    both = found.join(windows, ["doc", "lo", "hi"]).join(first, ["first_doc", "first_lo", "first_hi"])
+    pieces = both.mapInArrow(_aligned(k, min_words, identity), "doc long, first_doc long, start long, end long, equal long")
+    merged = pieces.groupBy("doc").agg(F.collect_list(F.struct("first_doc", "start", "end", "equal")).alias("pieces")).mapInArrow(_merged(2), PASSAGE)
+    return merged.unionByName(whole)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
