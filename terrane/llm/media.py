@@ -1,8 +1,12 @@
 """Copies among images by local descriptors (operator 7).
 
-Corners are found at several scales, each gets an orientation and 256 binary intensity tests turned with it. Descriptors that agree in
-one of eight 32-bit words of theirs (so all within a Hamming distance of 7) meet in a table; pairs of images whose matched corners follow
-one similarity transform are copies, cropped, scaled, turned or otherwise edited.
+Corners are found at several scales, each gets an orientation and 256 binary intensity tests turned with it, in a patch of 31 pixels.
+Corners whose descriptors differ in three bits at most match: these agree in one of four 64-bit words, so all of them meet in a table of
+such words. Pairs of images whose matched corners follow one similarity transform are copies, cropped, brightened, turned or scaled.
+
+Each table entry passes the exchange packed, in some forty bytes, once for each of two rounds. The first gives the matches of the least
+image of a bucket with the others, as many as entries. The second compares all entries of a bucket, but for those of images that the
+first has put into one class; so a large group of copies does not give all its pairs, and no match that joins two classes is lost.
 
 The media column is (width, height, pixels): 8-bit grey values by rows. The corpus has no table of images, so ``drawn_images`` draws
 one from every embedding, and an edited copy for some; the operator itself takes any table of this form.
@@ -13,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +28,12 @@ from terrane.llm.common import written
 from terrane.llm.components import components
 
 SCALES = (1.0, 0.75, 0.5625)
-RADIUS = 8
+RADIUS = 15
+TABLES = 4
+FAR = TABLES - 1
 IMAGE = "image_id long, width int, height int, pixels binary"
-CORNER = "x float, y float, scale float, angle float"
+DESCRIBED = "image long, n int, places binary, bits binary"
+MATCH = "a long, b long, p int, q int"
 
 
 def draw(vector: np.ndarray, side: int = 96) -> np.ndarray:
@@ -119,20 +127,151 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _descriptors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each image that has corners: their number, places (x, y, scale, angle as 32-bit floats) and descriptors (32 bytes each)."""
     for batch in batches:
-        ids, places, words = [], [], []
+        rows = []
         for i in range(batch.num_rows):
             w, h, data = (batch.column(c)[i].as_py() for c in ("width", "height", "pixels"))
-            if not w or not h or data is None or len(data) != w * h:
-                continue
             at, bits = describe(np.frombuffer(data, np.uint8).reshape(h, w))
-            ids += [batch.column("image_id")[i].as_py()] * len(at)
-            places.append(at)
-            words.append(bits)
-        if ids:
-            at, bits = np.concatenate(places), np.concatenate(words)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 8 * len(ids) + 1, 8, dtype=np.int32)), pa.array(bits.ravel().astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.StructArray.from_arrays([pa.array(at[:, k]) for k in range(4)], names=["x", "y", "scale", "angle"]), lists], names=["image", "corner", "bits"])
+            if len(at):
+                rows.append((batch.column("image_id")[i].as_py(), len(at), at.astype("<f4").tobytes(), bits.astype(">u4").tobytes()))
+        if rows:
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["image", "n", "places", "bits"])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _entries(buckets: int, most: int = 1 << 18):
+    """bucket, table, entries: every corner's entry in each of the tables, packed: images, their labels, corners and descriptors."""
+
+    def flush(held: list[tuple[int, int, bytes]]) -> Iterator[tuple]:
+        bits = np.frombuffer(b"".join(b for _, _, b in held), "<u8").reshape(-1, TABLES)
+        sizes = [len(b) // 32 for _, _, b in held]
+        image, label = (np.repeat(np.array([r[k] for r in held], np.int64), sizes) for k in (0, 1))
+        corner = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        for table in range(TABLES):
+            bucket = (_mixed(bits[:, table]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+            order = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1))
+            for low, high in zip(first, np.append(first[1:], len(order)), strict=True):
+                own = order[low:high]
+                yield int(bucket[order[low]]), table, b"".join(x[own].tobytes() for x in (image, label, corner, bits))
+
+    def packed(held: list) -> pa.RecordBatch:
+        columns = zip(*flush(held), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "table", "entries"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("image", "label", "bits")), strict=True):
+                held.append(row)
+                n += len(row[2]) // 32
+                if n >= most:
+                    yield packed(held)
+                    held, n = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _unpacked(blobs: list[bytes]) -> list[np.ndarray]:
+    """image, label, corner and descriptors of all entries."""
+    out = []
+    for blob in blobs:
+        n = len(blob) // 52
+        out.append([np.frombuffer(blob, "<i8", n), np.frombuffer(blob, "<i8", n, 8 * n), np.frombuffer(blob, "<i4", n, 16 * n), np.frombuffer(blob, "<u8", TABLES * n, 20 * n).reshape(n, TABLES)])
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
+def _spans(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal sorted keys begins, and its length."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return first, np.diff(np.append(first, len(keys)))
+
+
+def _close(bits: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits[u] ^ bits[v]).sum(1) <= FAR
+
+
+def _all_pairs(start: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within each run, some ``most`` at a time."""
+    place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+    after = np.repeat(start + size, size) - place - 1  # how many later ones each meets
+    ends = np.cumsum(after)
+    low = 0
+    while low < len(place):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
+        n = after[low:high]
+        u = np.repeat(place[low:high], n)
+        yield u, u + 1 + np.arange(len(u)) - np.repeat(np.cumsum(n) - n, n)
+        low = high
+
+
+def _near_in(bits: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of entries of one word that are close and have different labels. What lies in many entries is told apart by parts of the other
+    words: of as many parts as tables, two close descriptors agree in one."""
+    parts = np.array_split(np.arange(bits.shape[1] * 4), TABLES)
+    quarters = bits.view("<u2")
+    for number, part in enumerate(parts):
+        key = np.ascontiguousarray(quarters[:, part]).view(f"V{2 * len(part)}").ravel()
+        order = np.argsort(key, kind="stable")
+        start, size = _spans(key[order])
+        several = size > 1
+        for u, v in _all_pairs(start[several], size[several]):
+            u, v = order[u], order[v]
+            fresh = label[u] != label[v]
+            for earlier in parts[:number]:
+                fresh &= (quarters[u][:, earlier] != quarters[v][:, earlier]).any(1)
+            u, v = u[fresh], v[fresh]
+            close = _close(bits, u, v)
+            yield u[close], v[close]
+
+
+def _met(stars: bool, small: int = 256):
+    """Matches of the buckets: those with the least image of each (``stars``), or all between images of different labels, each once."""
+
+    def bucket(table: int, blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        image, label, corner, bits = _unpacked(blobs)
+        order = np.lexsort((corner, image, bits[:, table]))
+        image, label, corner, bits = image[order], label[order], corner[order], bits[order]
+        start, size = _spans(bits[:, table])
+        if stars:
+            head = np.repeat(start, size)
+            v = np.flatnonzero(image != image[head])
+            found = [(head[v], v)]
+        else:
+            several = (size > 1) & (np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start))
+            few = several & (size <= small)
+            found = ((u[other], v[other]) for u, v in _all_pairs(start[few], size[few]) for other in [label[u] != label[v]])
+            rest = np.delete(np.arange(TABLES), table)
+            large = ((u + a, v + a) for a, n in zip(start[several & ~few], size[several & ~few], strict=True) for u, v in _near_in(np.ascontiguousarray(bits[a : a + n][:, rest]), label[a : a + n]))
+            found = chain(found, large)
+        for u, v in found:
+            keep = _close(bits, u, v) & (bits[u, :table] != bits[v, :table]).all(1)
+            u, v = u[keep], v[keep]
+            swap = image[u] > image[v]
+            u, v = np.where(swap, v, u), np.where(swap, u, v)
+            yield image[u], image[v], corner[u], corner[v]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for b, table, blob in ((b, t, x) for batch in batches for b, t, x in zip(*(batch.column(c).to_pylist() for c in ("bucket", "table", "entries")), strict=True)):
+            if (b, table) != here and held:
+                yield from (pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b", "p", "q"]) for x in bucket(here[1], held) if len(x[0]))
+                held = []
+            here = b, table
+            held.append(blob)
+        if held:
+            yield from (pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b", "p", "q"]) for x in bucket(here[1], held) if len(x[0]))
+
+    return run
 
 
 def consensus(matches: np.ndarray) -> int:
@@ -152,105 +291,54 @@ def consensus(matches: np.ndarray) -> int:
 def _agreeing(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n = [], [], []
-            for i in range(batch.num_rows):
-                m = batch.column("matches")[i].values
-                sides = [m.field(s).field(c).to_numpy(zero_copy_only=False) for s in ("p", "q") for c in ("x", "y", "scale", "angle")]
-                agree = consensus(np.stack(sides, 1))
+            out = []
+            for a, b, matches, pa_, pb in zip(*(batch.column(c) for c in ("a", "b", "matches", "places_a", "places_b")), strict=True):
+                sides = [np.frombuffer(x.as_py(), "<f4").reshape(-1, 4)[matches.values.field(s).to_numpy()] for s, x in (("p", pa_), ("q", pb))]
+                agree = consensus(np.concatenate(sides, 1))
                 if agree >= least:
-                    a.append(batch.column("a")[i].as_py())
-                    b.append(batch.column("b")[i].as_py())
-                    n.append(agree)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (a, b, n)], names=["a", "b", "n_corners"])
+                    out.append((a.as_py(), b.as_py(), agree))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "n_corners"])
 
     return run
 
 
-def _met(spark, entries: DataFrame, keys: list[str], small: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of corners from the buckets of at most ``small`` entries, the entries of larger ones, and the sizes of all. Descriptors go only with the latter."""
-    sizes = written(spark, entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
-    sized = entries.select(*keys, "image", "corner").join(sizes.where(F.col("m") <= small).select(*keys), keys)
-    groups = sized.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("image", "corner"))).alias("all"))
-    left = groups.select("all", F.posexplode("all").alias("at", "p")).select("p", F.explode(F.slice("all", F.col("at") + 2, F.lit(small))).alias("q"))
-    return left.where("p.image <> q.image"), entries.join(sizes.where(F.col("m") > small).select(*keys), keys), sizes
-
-
-def _within(far: int):
-    """Pairs of corners in one block of a bucket (chunk i against chunk j) whose descriptors differ in ``far`` bits at most, each pair in the first table it shares."""
-
-    def run(block: pa.Table) -> pa.Table:
-        table, i, j = (block.column(c)[0].as_py() for c in ("table", "i", "j"))
-        block = block.sort_by("order").combine_chunks()
-        bits, chunk, image = (np.stack([block.column(f"b{x}").to_numpy() for x in range(8)], 1).astype(np.uint32), block.column("chunk").to_numpy(), block.column("image").to_numpy())
-        sides = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for at in range(0, len(sides[0]), 256):
-            p = sides[0][at : at + 256]
-            apart, new = np.zeros((len(p), len(sides[1])), np.int16), np.ones((len(p), len(sides[1])), bool)
-            for x in range(8):
-                differ = bits[p, x][:, None] ^ bits[sides[1], x][None, :]
-                apart += np.bitwise_count(differ)
-                if x < table:
-                    new &= differ != 0
-            u, v = np.nonzero((apart <= far) & new & (image[p][:, None] != image[sides[1]][None, :]))
-            u, v = p[u], sides[1][v]
-            if i == j:
-                u, v = u[u < v], v[u < v]
-            left.append(u)
-            right.append(v)
-        out = {}
-        for side, rows in zip("pq", (np.concatenate(left), np.concatenate(right)), strict=True):
-            taken = block.take(pa.array(rows))
-            out |= {f"{side}_{c}": taken.column(c) for c in ("image", "x", "y", "scale", "angle")}
-        return pa.table(out)
-
-    return run
-
+def matched_images(described: DataFrame, labels: DataFrame | None, least: int = 6) -> DataFrame:
+    """a, b, n_corners: pairs of images at least ``least`` of whose matched corners follow one transform.
 
-def _near(large: DataFrame, sizes: DataFrame, far: int = 7, chunk: int = 1024) -> DataFrame:
-    """Pairs of corners of large buckets within a Hamming distance of ``far``: chunks of a bucket against each other, block by block, none left out."""
-    n = F.ceil(F.col("m") / chunk).cast("int")
-    flat = [F.element_at("bits", x + 1).alias(f"b{x}") for x in range(8)]
-    own = large.where("image is not null").join(sizes, ["table", "word"]).select("table", "word", "image", "corner.*", *flat, F.xxhash64("image", "corner").alias("order"), n.alias("n")).withColumn("chunk", F.pmod("order", "n").cast("int"))
-    blocks = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other", "n")
-    kinds = ", ".join(f"{s}_image long, " + ", ".join(f"{s}_{c}" for c in CORNER.split(", ")) for s in "pq")
-    found = blocks.groupBy("table", "word", "i", "j").applyInArrow(_within(far), kinds)
-    entry = lambda s: F.struct(F.col(f"{s}_image").alias("image"), F.struct(*[F.col(f"{s}_{c}").alias(c) for c in ("x", "y", "scale", "angle")]).alias("corner"))
-    return found.select(F.least(entry("p"), entry("q")).alias("p"), F.greatest(entry("p"), entry("q")).alias("q"))
-
-
-def matched_images(images: DataFrame, least: int = 6, small: int = 24) -> DataFrame:
-    """a, b, n_corners: pairs of images (all with different pixels) at least ``least`` of whose corners follow one transform.
-
-    In buckets of up to ``small`` entries all corners match. In larger ones those do that differ in 7 bits at most, however many they are,
-    and those that also agree in the next word where up to ``small`` do. So corners within 7 bits always match.
+    Without labels, of the pairs of the least image of a bucket with the others; with labels (node, component), of all images of
+    different components.
     """
-    spark = images.sparkSession
-    found = written(spark, images.select("image_id", "width", "height", "pixels").mapInArrow(_descriptors, f"image long, corner struct<{CORNER.replace(' float', ':float')}>, bits array<long>"), "descriptors")
-    word = F.posexplode("bits").alias("table", "word")
-    entries = found.select("image", "corner", "bits", word)
-    pairs, large, sizes = _met(spark, entries, ["table", "word"], small)
-    more, _, _ = _met(spark, large.withColumn("next", F.element_at("bits", F.pmod(F.col("table") + 1, F.lit(8)).cast("int") + 1)), ["table", "word", "next"], small)
-    every = pairs.unionByName(more).unionByName(_near(large, sizes)).distinct()
-    both = every.groupBy(F.col("p.image").alias("a"), F.col("q.image").alias("b")).agg(F.collect_list(F.struct(F.col("p.corner").alias("p"), F.col("q.corner").alias("q"))).alias("matches"))
-    return both.where(F.size("matches") >= least).mapInArrow(_agreeing(least), "a long, b long, n_corners long")
+    spark = described.sparkSession
+    corners = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corners * TABLES // 1_000_000))
+    if labels is None:
+        rows = described.select("image", F.lit(0).cast("long").alias("label"), "bits")
+    else:
+        rows = described.join(labels, F.col("image") == F.col("node"), "left").select("image", F.coalesce("component", "image").alias("label"), "bits")
+    entries = rows.mapInArrow(_entries(parts), "bucket int, table int, entries binary").repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "table")
+    met = entries.mapInArrow(_met(labels is None), MATCH)
+    both = met.groupBy("a", "b").agg(F.collect_list(F.struct("p", "q")).alias("matches")).where(F.size("matches") >= least)
+    side = lambda s: described.select(F.col("image").alias(s), F.col("places").alias(f"places_{s}"))
+    return both.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(least), "a long, b long, n_corners long")
 
 
 def find_copies(images: DataFrame) -> DataFrame:
-    """image_id, class_id (the least image reachable over copies) and n_links (matched images with other pixels) of every image.
+    """image_id and class_id (the least image reachable over copies) of every image.
 
     Images with equal pixels are one class from the start, however many they are. Null, empty or broken pixels (not width times height
-    bytes) match nothing; such an image is a class of its own. Rows that repeat an id get a row each; other columns are ignored.
+    bytes) and images too small for a patch match nothing; such an image is a class of its own. Rows that repeat an id get a row each;
+    a null id has the class of the images with its pixels, else null. Other columns are ignored.
     """
     spark = images.sparkSession
     digest = F.sha2(F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit("|"), F.hex("pixels")), 256)
     good = F.coalesce((F.col("width") > 0) & (F.length("pixels") == F.col("width").cast("long") * F.col("height")), F.lit(False))
     all_rows = written(spark, images.select("image_id", F.when(good, digest).alias("same"), "width", "height", "pixels"), "images")
     reps = all_rows.where("same is not null").groupBy("same").agg(F.min("image_id").alias("rep"))
-    one = all_rows.join(reps, "same").where("image_id = rep").dropDuplicates(["same"])
-    links = written(spark, matched_images(one), "copies")
-    degree = links.select(F.explode(F.array("a", "b")).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n_links"))
-    found = components(links)
-    own = all_rows.select("image_id", "same").join(reps, "same", "left")
-    out = own.join(found, F.col("rep") == F.col("node"), "left").join(degree, F.col("rep") == F.col("d"), "left")
-    return out.select("image_id", F.coalesce("component", "rep", "image_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    one = all_rows.where("image_id is not null").join(reps, "same").where("image_id = rep").dropDuplicates(["same"])
+    described = written(spark, one.select("image_id", "width", "height", "pixels").mapInArrow(_descriptors, DESCRIBED), "descriptors")
+    links = written(spark, matched_images(described, None).select("a", "b"), "stars")
+    rest = matched_images(described, components(links)).select("a", "b")
+    found = components(links.unionByName(rest))
+    out = all_rows.select("image_id", "same").join(reps, "same", "left").join(found, F.col("rep") == F.col("node"), "left")
+    return out.select("image_id", F.coalesce("component", "rep", "image_id").alias("class_id"))
