@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import written
@@ -122,6 +122,11 @@ def _estimates(k: int, percent: int):
     return run
 
 
+def document_id(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The id as a long or, where it is null, a number above 2^62 that follows from the text: below it, ids of documents are their own."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.col(text_col).cast("string"), F.lit(9)), 2))
+
+
 def _full_sets(base: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """id, shingles: the full sets of the documents named, as they are compared."""
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from terrane.llm import bpe, chat, language, lines, media, neardup, packing, quality, sharding, substrings
 from terrane.llm.common import table
 
-TOKENIZERS = "/opt/tokenizers"
 
-
-def vocabulary(name: str, folder: str = TOKENIZERS) -> bytes:
-    with open(f"{folder}/{name}", "rb") as f:
+def vocabulary(name: str, path: Callable[[str], str] | None = None) -> bytes:
+    """A tokenizer's file, by ``path`` (name to place) or else where the public tokenizers are installed. The driver reads it and tasks get its bytes."""
+    if path is None:
+        from public_tokenizers import path
+    with open(path(name), "rb") as f:
         return f.read()
 
 

@@ -277,14 +277,37 @@ def test_edited_images_are_found(spark):
     got = {r["image_id"]: r["class_id"] for r in media.find_copies(media.drawn_images(vectors)).collect()}
     assert all(got[2 * i + 1] == 2 * i for i in range(40) if i % 8 == 3)
     assert got[80] == got[10] == 10 and len(set(got.values())) == 40
+    odd = [(1, 96, 96, None), (2, 0, 0, bytearray()), (3, 5, 2, bytearray(9)), (4, 12, 1, bytearray(12)), (4, 12, 1, bytearray(12)), (None, 96, 96, bytearray(9216)), (5, None, 3, bytearray(9))]
+    odd = media.find_copies(spark.createDataFrame(odd, media.IMAGE).withColumn("a", F.lit("x")))
+    assert sorted(tuple(r) for r in odd.where("image_id is not null").collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (5, 5)]
+    assert media.find_copies(media.drawn_images(vectors.limit(0))).count() == 0
 
 
 def test_a_large_group_of_copies_is_linked_throughout(spark):
-    """30 copies that differ in brightness only: equal descriptors in every bucket, and a link for each pair."""
-    image = np.clip(media.draw(np.arange(3, dtype=np.float32)).astype(np.int64), 40, 200)
-    rows = [(i, 96, 96, bytearray((image + i).astype(np.uint8).tobytes())) for i in range(30)]
+    """Copies that differ in brightness only: equal descriptors in every bucket, more than a bucket compares pair by pair."""
+    image = np.clip(media.draw(np.arange(3, dtype=np.float32)).astype(np.int64), 40, 100)
+    rows = [(i, 96, 96, bytearray((image + i % 150).astype(np.uint8).tobytes()[: 9216 - (i == 77)])) for i in range(150)]
     got = media.find_copies(spark.createDataFrame(rows, media.IMAGE)).collect()
-    assert {(r["class_id"], r["n_links"]) for r in got} == {(0, 29)}
+    assert {(r["image_id"], r["class_id"]) for r in got} == {(i, 77 if i == 77 else 0) for i in range(150)}
+
+
+def test_matches_in_buckets_equal_brute_force():
+    """All pairs within three bits, from small buckets and from large ones, whatever bits differ."""
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2, (40, 256), dtype=np.uint8)
+    rows = [base[draw.integers(0, 40)] ^ (np.isin(np.arange(256), draw.choice(256, draw.integers(0, 4), replace=False))) for _ in range(700)]
+    bits = np.packbits(np.array(rows, np.uint8), axis=1)
+    image, label = np.arange(700) // 2, np.arange(700) // 2 % 90
+    u, v = np.triu_indices(700, 1)
+    near = (np.bitwise_count(bits[u] ^ bits[v]).sum(1) <= 3) & (label[u] != label[v])
+    want = {(int(image[a]), int(image[b]), int(a % 2), int(b % 2)) for a, b in zip(u[near], v[near], strict=True)}
+    import pyarrow as pa
+
+    table = pa.RecordBatch.from_pydict({"image": list(range(350)), "label": [i % 90 for i in range(350)], "bits": [bits[2 * i : 2 * i + 2].tobytes() for i in range(350)]})
+    for small in (2, 256):
+        entries = pa.Table.from_batches(list(media._entries(3)(iter([table])))).sort_by([("bucket", "ascending"), ("table", "ascending")])
+        got = [tuple(r.values()) for b in media._met(False, small)(iter(entries.to_batches())) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_every_odd_table_passes(spark):
