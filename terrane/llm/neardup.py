@@ -29,7 +29,7 @@ from terrane.llm.common import written
 from terrane.llm.components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_ODD = np.random.default_rng(20240229).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+ODD = np.random.default_rng(20240229).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 #: Ids of documents to verify, up to this many (8 bytes each), are broadcast; beyond it the join is shuffled.
@@ -47,7 +47,7 @@ class _Hashes(dict):
 _words = _Hashes()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -68,7 +68,7 @@ def grams(words: np.ndarray, size: int) -> np.ndarray:
     size = min(size, n)
     total = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
-        total = _mix(total + words[k : n - size + 1 + k] * _ODD[k % 64])
+        total = mixed(total + words[k : n - size + 1 + k] * ODD[k % 64])
     return total
 
 
