@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terrane.functions.numeric import low_bits
-from terrane.operators.predictors import difference, prefix_sum
+from terrane.operators.predictors import prefix_sum, with_before
+from terrane.sources.fields import flat_values, ordered_values, to_blocks
 
 CHUNK = 16384  # bytes of a zero-elimination chunk
 PART = 768  # symbols of a Huffman partition
@@ -34,17 +34,21 @@ def _mapped(blocks: DataFrame, work: Callable[[bytes], bytes]) -> DataFrame:
 
 
 def rle(field: DataFrame, block: int = 4096) -> DataFrame:
-    """run_id, v, length of the runs over the whole field. Run numbers are a two-level prefix sum of the changes; a run may span blocks."""
-    changed = difference(field, bits=64, block=block).select("idx", F.when((F.col("d") != 0) | (F.col("idx") == 0), 1).otherwise(0).cast("long").alias("c"))
-    run = prefix_sum(changed, "c", block).select("idx", (F.col("s") - 1).alias("run_id"))
-    return field.join(run, "idx").groupBy("run_id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("length"))
+    """run_id, v, length of the runs over the whole field. Run numbers are a prefix sum of the changes; a run may span blocks."""
+    rows = with_before(field.select("idx", "v"), "v", block)
+    changed = rows.select("idx", "v", (~F.col("v").eqNullSafe(F.col("before")) | (F.col("idx") == 0)).cast("long").alias("c"))
+    runs = prefix_sum(changed, "c", block, ("v",))
+    return runs.groupBy((F.col("s") - 1).alias("run_id")).agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("length"))
 
 
 def unrle(runs: DataFrame) -> DataFrame:
     """idx, v: the first position of each run is the sum of the lengths before it."""
-    ends = prefix_sum(runs.select(F.col("run_id").alias("idx"), "length"), "length").select(F.col("idx").alias("run_id"), F.col("s").alias("end"))
-    rows = runs.join(ends, "run_id")
-    return rows.select(F.explode(F.sequence(F.col("end") - F.col("length"), F.col("end") - 1)).alias("idx"), "v")
+    ends = prefix_sum(runs.select(F.col("run_id").alias("idx"), "length", "v"), "length", keep=("v", "length"))
+    rows = ends.select("v", (F.col("s") - F.col("length")).alias("low"), F.col("s").alias("end"))
+    # a long run is cut at block ends and the cuts are dealt anew, so no row makes more than a block
+    cuts = rows.select("v", "low", "end", F.explode(F.sequence(F.expr(f"low div {CHUNK}"), F.expr(f"(end - 1) div {CHUNK}"))).alias("c")).repartition("c")
+    low, high = F.greatest("low", F.col("c") * CHUNK), F.least("end", (F.col("c") + 1) * CHUNK)
+    return cuts.select(F.explode(F.sequence(low, high - 1)).alias("idx"), "v")
 
 
 def rle_size(runs: DataFrame, width: int) -> DataFrame:
@@ -230,33 +234,35 @@ def restore_zeros(coded: DataFrame) -> DataFrame:
     return coded.select("block", "n", "bytes").mapInArrow(run, "block long, n long, bytes binary")
 
 
+SIZES = "chunk long, n_nonzero long, kept1 long, kept2 long, kept3 long, size long"
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for chunk, data in zip(b.column("block").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+            values, kept, last = _levels(np.frombuffer(data, np.uint8))
+            counts = [len(values), *map(len, kept)]
+            body = sum(counts) + len(last) + 2
+            rows.append((chunk, *counts, 2 if not values else len(data) if body >= CHUNK - 2 else body))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6, names=["chunk", "n_nonzero", "kept1", "kept2", "kept3", "size"])
+
+
 def chunk_sizes(data: DataFrame) -> DataFrame:
-    """chunk, n_nonzero, kept1, kept2, kept3 and size of each 16384-byte chunk of (idx, v) bytes, without making the bytes.
+    """chunk, n_nonzero, kept1, kept2, kept3 and size of each 16384-byte chunk of (idx, v) bytes.
 
     Size is 2 for an all-zero chunk; else the parts, 4 bytes of the last bitmap and 2 of the size itself, or the chunk as it is when
     that is no shorter.
     """
-    rows = data.select(F.expr(f"idx div {CHUNK}").alias("chunk"), F.expr(f"cast(idx % {CHUNK} as int)").alias("i"), (F.col("v") != 0).cast("int").alias("bit"))
-    total = rows.groupBy("chunk").agg(F.sum("bit").cast("long").alias("n_nonzero"), F.count(F.lit(1)).alias("n"))
-    for level in (1, 2, 3):
-        width = CHUNK >> (3 * level)
-        packed = rows.groupBy("chunk", F.expr("i div 8").alias("i")).agg(F.sum(F.expr("shiftleft(bit, i % 8)")).alias("b"))
-        every = total.select("chunk", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("i"))
-        packed = every.join(packed, ["chunk", "i"], "left").select("chunk", "i", F.coalesce("b", F.lit(0)).alias("b"))
-        before = F.coalesce(F.lag("b").over(Window.partitionBy("chunk").orderBy("i")), F.lit(0))
-        rows = packed.select("chunk", "i", (F.col("b") != before).cast("int").alias("bit"))
-        total = total.join(rows.groupBy("chunk").agg(F.sum("bit").cast("long").alias(f"kept{level}")), "chunk")
-    body = F.col("n_nonzero") + F.col("kept1") + F.col("kept2") + F.col("kept3") + 4 + 2
-    size = F.when(F.col("n_nonzero") == 0, F.lit(2)).when(body >= F.lit(CHUNK - 2), F.col("n")).otherwise(body)
-    return total.select("chunk", "n_nonzero", "kept1", "kept2", "kept3", size.cast("long").alias("size"))
+    return to_blocks(data, "<u1", CHUNK).mapInArrow(_sizes, SIZES)
 
 
 def stream_offsets(sizes: DataFrame) -> DataFrame:
-    """chunk, size, byte_offset: where each chunk starts behind the stream's head, by a two-level prefix sum, and the padded total."""
-    ends = prefix_sum(sizes.select(F.col("chunk").alias("idx"), "size"), "size").select(F.col("idx").alias("chunk"), F.col("s").alias("end"))
-    head = sizes.agg((8 + 4 * F.count(F.lit(1))).alias("head"), F.sum("size").alias("body"))
-    rows = sizes.join(ends, "chunk").crossJoin(F.broadcast(head))  # one row
-    return rows.select("chunk", "size", (F.col("head") + F.col("end") - F.col("size")).alias("byte_offset"), F.expr("((head + body + 3) div 4) * 4").alias("total_bytes"))
+    """chunk, size, byte_offset: where each chunk starts behind the stream's head, by a prefix sum, and the padded total."""
+    ends = prefix_sum(sizes.select(F.col("chunk").alias("idx"), "size"), "size", keep=("size",))
+    head = ends.agg((8 + 4 * F.count(F.lit(1))).alias("head"), F.max("s").alias("body"))
+    rows = ends.crossJoin(F.broadcast(head))  # one row
+    return rows.select(F.col("idx").alias("chunk"), "size", (F.col("head") + F.col("s") - F.col("size")).alias("byte_offset"), F.expr("((head + body + 3) div 4) * 4").alias("total_bytes"))
 
 
 # Huffman
@@ -302,10 +308,11 @@ def codebook(field: DataFrame, n_symbols: int) -> dict[int, tuple[int, int]]:
     """The canonical code of the field's symbols. At most ``n_symbols`` counts reach the driver. A value out of range is an error."""
     if n_symbols > 1 << 20:
         raise ValueError("more than 2^20 symbols")
-    bad = out_of_range(field, n_symbols).first()[0]
-    if bad:
+    inside = (F.col("v") >= 0) & (F.col("v") < n_symbols)
+    counts = {r[0]: r[1] for r in field.groupBy(F.when(inside, F.col("v").cast("long")).alias("symbol")).agg(F.count(F.lit(1))).collect()}
+    if bad := counts.pop(None, 0):
         raise ValueError(f"{bad} values are outside [0, {n_symbols})")
-    return canonical(code_lengths({r["symbol"]: r["freq"] for r in histogram(field, n_symbols).collect()}))
+    return canonical(code_lengths(counts)) if counts else {}
 
 
 def _encode_part(symbols: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
@@ -325,29 +332,42 @@ def huffman(field: DataFrame, book: dict[int, tuple[int, int]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [np.array([e["v"] for e in row], np.int64) for row in b.column("items").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array([len(p) for p in parts], pa.int64()), pa.array([_encode_part(p, lengths, codes) for p in parts], pa.binary())], names=["block", "n", "bytes"])
+            values, at = flat_values(b.column("values"))
+            parts = [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(np.diff(at).astype(np.int64)), pa.array([_encode_part(p, lengths, codes) for p in parts], pa.binary())], names=["block", "n", "bytes"])
 
-    parts = field.groupBy(F.expr(f"idx div {PART}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("items"))
-    return parts.mapInArrow(run, "block long, n long, bytes binary")
+    return ordered_values(field.select("idx", F.col("v").cast("long").alias("v")), PART).mapInArrow(run, "block long, n long, bytes binary")
+
+
+def _decode_parts(data: list[bytes], n: np.ndarray, symbols: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Symbols of all parts, the k-th of each in one step: the next 56 bits of a part lie between the starts of two codes."""
+    sizes = np.array([len(x) for x in data], np.int64)
+    raw = np.frombuffer(b"".join(data) + bytes(8), np.uint8)
+    place = (np.cumsum(sizes) - sizes) * 8
+    out = np.zeros((len(data), int(n.max(initial=0))), np.int64)
+    for k in range(out.shape[1]):
+        here = np.flatnonzero(k < n)
+        at = place[here]
+        word = raw[(at >> 3)[:, None] + np.arange(8)].copy().view(">u8").ravel().astype(np.uint64)
+        found = np.searchsorted(starts, (word << (at & 7).astype(np.uint64)) >> np.uint64(8), side="right") - 1
+        out[here, k] = symbols[found]
+        place[here] += lengths[found]
+    return out[np.arange(out.shape[1])[None, :] < n[:, None]]
 
 
 def unhuffman(coded: DataFrame, book: dict[int, tuple[int, int]]) -> DataFrame:
-    """idx, v."""
-    by_code = {(n, c): s for s, (n, c) in book.items()}
+    """idx, v. Codes of up to 56 bits can be decoded, which takes fields of 10^11 elements to exceed."""
+    rows = sorted((c << (56 - n), s, n) for s, (n, c) in book.items() if n <= 56)
+    if len(rows) < len(book):
+        raise ValueError("a code has more than 56 bits")
+    starts, symbols, lengths = (np.array([r[i] for r in rows], t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block, n, data in zip(*(b.column(c).to_pylist() for c in ("block", "n", "bytes")), strict=True):
-                out, code, size = [], 0, 0
-                for bit in np.unpackbits(np.frombuffer(data, np.uint8)).tolist():
-                    if len(out) == n:
-                        break
-                    code, size = code << 1 | bit, size + 1
-                    symbol = by_code.get((size, code))
-                    if symbol is not None:
-                        out.append(symbol)
-                        code = size = 0
-                yield pa.RecordBatch.from_arrays([pa.array(block * PART + np.arange(n)), pa.array(out, pa.int64())], names=["idx", "v"])
-
-    return coded.mapInArrow(run, "idx long, v long")
+        for whole in batches:
+            for b in (whole.slice(at, 256) for at in range(0, whole.num_rows, 256)):
+                n = b.column("n").to_numpy()
+                values = _decode_parts(b.column("bytes").to_pylist(), n, symbols, lengths, starts)
+                first = np.repeat(b.column("block").to_numpy() * PART, n)
+                yield pa.RecordBatch.from_arrays([pa.array(first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)), pa.array(values)], names=["idx", "v"])
+
+    return coded.select("block", "n", "bytes").mapInArrow(run, "idx long, v long")

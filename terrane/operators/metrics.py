@@ -46,9 +46,23 @@ def wide_histogram(rows: DataFrame, column: str, buckets: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(span)).withColumn("width", width).groupBy(at.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def compression(raw_bytes: int, coded: DataFrame) -> DataFrame:
-    """One row: raw and coded bytes of binary blocks, and their ratio."""
-    return coded.agg(F.lit(raw_bytes).cast("long").alias("raw_bytes"), F.sum(F.length("bytes")).cast("long").alias("coded_bytes"), (F.lit(float(raw_bytes)) / F.sum(F.length("bytes"))).alias("ratio"))
+def histogram(rows: DataFrame, column: str, bins: int = 20, buckets: int = 40, least_share: float = 0.05) -> DataFrame:
+    """low, n: the values within ``bins`` of 0 one by one, or, where these are at most ``least_share`` of all, ``buckets`` equal steps from
+    the least value to the greatest. One row of counts reaches the driver."""
+    share = rows.agg(F.count_if(F.abs(column) <= bins) / F.greatest(F.count(F.lit(1)), F.lit(1))).first()[0]
+    if share > least_share:
+        return centred_histogram(rows, column, bins).select(F.col("value").cast("double").alias("low"), "n")
+    span = rows.agg(F.min(column).cast("double").alias("low"), F.max(column).cast("double").alias("high"))
+    step = F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / buckets).otherwise(1.0 / buckets)
+    return wide_histogram(rows, column, buckets).crossJoin(F.broadcast(span)).select((F.col("low") + F.col("bucket") * step).alias("low"), "n")
+
+
+def compression(raw: DataFrame, coded: DataFrame) -> DataFrame:
+    """One row: bytes of binary blocks before and after, and their ratio (infinite if nothing is left)."""
+    size = lambda rows, name: rows.agg(F.coalesce(F.sum(F.length("bytes")), F.lit(0)).cast("long").alias(name))
+    both = size(raw, "raw_bytes").crossJoin(F.broadcast(size(coded, "coded_bytes")))  # one row each
+    ratio = F.when(F.col("coded_bytes") > 0, F.col("raw_bytes") / F.when(F.col("coded_bytes") > 0, F.col("coded_bytes"))).otherwise(F.lit(float("inf")))
+    return both.select("raw_bytes", "coded_bytes", ratio.alias("ratio"))
 
 
 def timed(actions: dict, raw_bytes: int) -> list[dict]:

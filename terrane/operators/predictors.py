@@ -16,6 +16,7 @@ from terrane.operators.quantizer import with_bound
 LINE = 1024  # elements of a fused 1-D block
 LOSSLESS = 256  # elements of a lossless 1-D block
 TILES = {2: 32, 3: 8}  # edge of a fused tile
+EDGE = {2: 128, 3: 32}  # edge of the tiles that a lossless prediction over the whole field is dealt in; results don't depend on it
 
 AXES = ("x", "y", "z")
 
@@ -76,53 +77,98 @@ def lorenzo_reconstruct(codes: DataFrame, kept: DataFrame, dims: int, eb: Column
     return rows.withColumn("v", F.col("p").cast("double") * 2 * bound).drop("o", "code")
 
 
+def _with_halo(rows: DataFrame, dims: int, edge: int) -> DataFrame:
+    """Rows by tile (keys tx, ty, tz), each tile with copies (``own`` false) of the elements just before it on every axis. One pass, one exchange."""
+    tiles = F.array(F.struct(*[_div(a, edge).alias(f"t{a}") for a in AXES[:dims]], F.lit(True).alias("own")))
+
+    def after(axis: str):
+        return lambda t: t.withField(f"t{axis}", t[f"t{axis}"] + 1).withField("own", F.lit(False))
+
+    for axis in AXES[:dims]:
+        beyond = F.transform(tiles, after(axis))
+        tiles = F.concat(tiles, F.when(F.col(axis) % edge == edge - 1, beyond).otherwise(F.slice(beyond, 1, 0)))
+    return rows.withColumn("t", F.explode(tiles)).select(*rows.columns, "t.*").repartition(*[f"t{a}" for a in AXES[:dims]])
+
+
+def _summed(rows: DataFrame, dims: int, axis: str, value: str, edge: int) -> DataFrame:
+    """The running sum of ``value`` along ``axis`` over the whole field: within tiles, then over the tiles' sums, one for ``edge`` elements.
+
+    The sums are taken from the running sums, so both read one exchange and the rows are computed once.
+    """
+    keys, across = [f"t{a}" for a in AXES[:dims]], [a for a in AXES[:dims] if a != axis]
+    dealt = rows.withColumns({f"t{a}": _div(a, edge) for a in AXES[:dims]}).repartition(*keys)
+    inside = dealt.withColumn("inner", _running(F.col(value), Window.partitionBy(*keys, *across).orderBy(axis)))
+    sums = inside.groupBy(*keys, *across).agg(F.max_by("inner", axis).alias("s"))
+    before = Window.partitionBy(*[k for k in keys if k != f"t{axis}"], *across).orderBy(f"t{axis}").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, *across, F.sum("s").over(before).alias("offset"))
+    return inside.join(offsets, [*keys, *across]).withColumn(value, F.col("inner") + F.coalesce("offset", F.lit(0))).drop("inner", "offset", *keys)
+
+
 def lorenzo(field: DataFrame, dims: int = 1, bits: int = 32) -> DataFrame:
-    """Lossless prediction of integers, wrapping at the width: blocks of 256 in one dimension, the whole field in two or three."""
+    """Lossless prediction of integers, wrapping at the width: blocks of 256 in one dimension, the whole field in two or three.
+
+    There each axis in turn takes the difference to the element before, in tiles that have copies of the elements before them.
+    """
     if dims == 1:
         out = field.withColumn("delta", _step_back(F.col("v"), Window.partitionBy(_div("idx", LOSSLESS)).orderBy("idx")))
     else:
-        out = _along(field.withColumn("delta", F.col("v").cast("long")), dims, None, "delta", _step_back)
+        keys = [f"t{a}" for a in AXES[:dims]]
+        out = _with_halo(field.withColumn("delta", F.col("v").cast("long")), dims, EDGE[dims])
+        for axis in AXES[:dims]:
+            out = out.withColumn("delta", _step_back(F.col("delta"), Window.partitionBy(*keys, *[a for a in AXES[:dims] if a != axis]).orderBy(axis)))
+        out = out.where("own").drop("own", *keys)
     return out.withColumn("delta", signed(F.col("delta").cast("long"), bits))
 
 
 def unlorenzo(deltas: DataFrame, dims: int = 1, bits: int = 32) -> DataFrame:
+    """v from deltas; in two and three dimensions running sums along each axis, in two levels."""
     if dims == 1:
         out = deltas.withColumn("v", _running(F.col("delta"), Window.partitionBy(_div("idx", LOSSLESS)).orderBy("idx")))
     else:
-        out = _along(deltas.withColumn("v", F.col("delta")), dims, None, "v", _running)
+        out = deltas.withColumn("v", F.col("delta"))
+        for axis in AXES[:dims]:
+            out = _summed(out, dims, axis, "v", EDGE[dims])
     return out.withColumn("v", signed(F.col("v").cast("long"), bits))
 
 
-def difference(field: DataFrame, chunk: int = 0, bits: int | None = 64, to_negabinary: bool = False, block: int = 4096) -> DataFrame:
-    """idx, d: each value less the one before, restarting every ``chunk`` elements (0: never). ``bits`` None is for floats.
+def with_before(rows: DataFrame, value: str, block: int) -> DataFrame:
+    """The rows with ``before``, the ``value`` at the position before, null at the first.
 
-    Without chunks the value before a block's first comes from a join on its position, so no window spans the field.
+    Blocks get a copy of the last element of the block before, so no window spans the field and the rows are computed once.
     """
-    size = chunk or block
-    before = F.lag("v").over(Window.partitionBy(_div("idx", size)).orderBy("idx"))
-    rows = field.select("idx", "v", before.alias("before"))
-    if not chunk:
-        edge = field.where(F.col("idx") % size == size - 1).select((F.col("idx") + 1).alias("idx"), F.col("v").alias("edge"))
-        rows = rows.join(edge, "idx", "left").select("idx", "v", F.coalesce("before", "edge").alias("before"))
+    here = _div("idx", block)
+    blocks = F.when(F.col("idx") % block == block - 1, F.array(here, here + 1)).otherwise(F.array(here))
+    dealt = rows.withColumn("b", F.explode(blocks)).withColumn("before", F.lag(value).over(Window.partitionBy("b").orderBy("idx")))
+    return dealt.where(F.col("b") == here).drop("b")
+
+
+def difference(field: DataFrame, chunk: int = 0, bits: int | None = 64, to_negabinary: bool = False, block: int = 4096) -> DataFrame:
+    """idx, d: each value less the one before, restarting every ``chunk`` elements (0: never). ``bits`` None is for floats."""
+    rows = field.select("idx", "v")
+    if chunk:
+        rows = rows.withColumn("before", F.lag("v").over(Window.partitionBy(_div("idx", chunk)).orderBy("idx")))
+    else:
+        rows = with_before(rows, "v", block)
     d = F.col("v") - F.coalesce("before", F.lit(0))
     if bits is not None:
         d = signed(d.cast("long"), bits)
     return rows.select("idx", (negabinary(d, bits) if to_negabinary else d).alias("d"))
 
 
-def prefix_sum(rows: DataFrame, value: str, block: int = 4096) -> DataFrame:
-    """idx and the inclusive running sum over the whole field, in two levels: within blocks, and over the blocks' sums.
+def prefix_sum(rows: DataFrame, value: str, block: int = 4096, keep: tuple[str, ...] = ()) -> DataFrame:
+    """idx, the inclusive running sum s over the whole field, and the columns ``keep``.
 
-    The blocks' sums are summed the same way until few are left, so no task sees more than one block of anything.
+    Three levels: within blocks, over the blocks of a block of blocks, and over these, of which there is one for every ``block`` squared
+    positions: only there a window has no key. Each level's sums are taken from its running sums, so both read one exchange.
     """
-    rows = rows.select("idx", F.col(value).alias("s"))
-    inner = rows.select("idx", _running(F.col("s"), Window.partitionBy(_div("idx", block)).orderBy("idx")).alias("s"))
-    sums = rows.groupBy(_div("idx", block).alias("idx")).agg(F.sum("s").alias("s"))
-    top = sums.agg(F.max("idx")).first()[0]
-    if top is None or top == 0:
-        return inner
-    before = prefix_sum(sums, "s", block).select((F.col("idx") + 1).alias("b"), F.col("s").alias("before"))
-    return inner.join(before, _div("idx", block) == F.col("b"), "left").select("idx", (F.col("s") + F.coalesce("before", F.lit(0))).alias("s"))
+    dealt = rows.select("idx", F.col(value).alias("s"), *keep).withColumn("b", _div("idx", block))
+    inner = dealt.withColumn("s", _running(F.col("s"), Window.partitionBy("b").orderBy("idx")))
+    sums = inner.groupBy("b").agg(F.max_by("s", "idx").alias("sum")).withColumn("t", _div("b", block))
+    own = sums.withColumn("upto", _running(F.col("sum"), Window.partitionBy("t").orderBy("b")))
+    tops = own.groupBy("t").agg(F.max_by("upto", "b").alias("top"))
+    tops = tops.select("t", F.sum("top").over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    offsets = own.join(tops, "t").select("b", (F.col("upto") - F.col("sum") + F.coalesce("before", F.lit(0))).alias("offset"))
+    return inner.join(offsets, "b").select("idx", (F.col("s") + F.col("offset")).alias("s"), *keep)
 
 
 def undifference(rows: DataFrame, chunk: int = 0, bits: int | None = 64, from_negabinary: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,9 @@ def _outside(threshold: float) -> Column:
 
 
 def quantize(field: DataFrame, mode: str = "abs", eb: float = 1e-4, radius: int = 32768, threshold: float = math.inf, use_zigzag: bool = False, code_bits: int = 32, base: float | None = None) -> DataFrame:
-    """idx, v, q, is_outlier, code: q = value / (2 eb) in single precision, halves to even. Outliers have code 0 and keep their value.
+    """The field with q, is_outlier and code: q = value / (2 eb) in single precision, halves to even. Outliers have code 0 and keep their value.
 
-    NaN and infinities are outliers. Codes are two's complement of the code's width, or zigzag.
+    Other columns stay. NaN and infinities are outliers. Codes are two's complement of the code's width, or zigzag.
     """
     bounded = with_bound(field, mode, eb, base)
     scaled = F.col("v").cast("float") * (F.lit(1.0) / (F.lit(2.0) * F.col("eb"))).cast("float")
@@ -46,7 +47,7 @@ def quantize(field: DataFrame, mode: str = "abs", eb: float = 1e-4, radius: int
     q = F.when(F.abs(q) < radius, q.cast("long"))
     rows = bounded.withColumn("q", q)
     code = zigzag(F.col("q"), code_bits) if use_zigzag else mask(F.col("q"), code_bits)
-    return rows.select("idx", "v", "q", F.col("q").isNull().alias("is_outlier"), F.coalesce(code, F.lit(0)).alias("code"), "eb")
+    return rows.withColumns({"is_outlier": F.col("q").isNull(), "code": F.coalesce(code, F.lit(0))})
 
 
 def outliers(quantized: DataFrame, capacity: int | None = None) -> DataFrame:
@@ -95,14 +96,25 @@ def dequantize_rel(codes: DataFrame, kept: DataFrame, eb: float) -> DataFrame:
     return codes.select("idx", value.alias("r")).join(kept.withColumnRenamed("v", "o"), "idx", "left").select("idx", F.coalesce("o", "r").alias("v"))
 
 
+def check_in_place(eb: float, radius: int) -> None:
+    """Whether every outlier's bits read as a number that no code has. Outliers have a magnitude of 2 eb (radius - 1/2) at least."""
+    least = np.float32(2 * as_float(eb) * (radius - 1))
+    if int(least.view(np.uint32)) >> 1 < radius:
+        raise ValueError(f"with a bound of {eb} and a radius of {radius}, an outlier could read as a code")
+
+
 def in_place(field: DataFrame, eb: float, radius: int = 32768) -> DataFrame:
-    """idx, code: zigzag codes, with an outlier's single-precision bits in the place of its code."""
+    """idx, code: zigzag codes, with an outlier's single-precision bits in the place of its code.
+
+    The decoder takes what is no code in range for an outlier; bounds and radii for which the two could be confused are an error.
+    """
+    check_in_place(eb, radius)
+
     @F.pandas_udf("long")
     def bits(v: pd.Series) -> pd.Series:
         return pd.Series(v.astype("float32").to_numpy().view("uint32").astype("int64"))
 
     rows = quantize(field, "abs", eb, radius, use_zigzag=True)
-    # an outlier whose bits read as a code in range is not one to the decoder; such small magnitudes are never outliers
     return rows.select("idx", F.when(F.col("is_outlier"), bits(F.col("v").cast("double"))).otherwise(F.col("code")).alias("code"))
 
 

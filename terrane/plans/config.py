@@ -6,26 +6,56 @@ import json
 import math
 import tomllib
 
-from terrane.plans.pipeline import BLOCKS, Bitshuffle, Difference, Huffman, LorenzoQuant, Pipeline, Quantizer, Rle, Rze, make_stage
+from terrane.plans.pipeline import BLOCKS, TYPE_BITS, Bitshuffle, Difference, Huffman, LorenzoQuant, Pipeline, Quantizer, Rle, Rze, make_stage
+
+
+# Keys of a configuration's [pipeline] that tell a device how to run it; here Spark decides.
+RUN_KEYS = ("input_size", "memory_strategy", "pool_multiplier", "num_streams")
+
+
+def _value_bytes(entry: dict, by_name: dict[str, dict]) -> int:
+    """Bytes of the values that a stage gives, as its configuration or that of the stages before it says; 0 if none does."""
+    kind = entry.get("output_type") or entry.get("code_type") or entry.get("data_type") or entry.get("input_type")
+    if kind in TYPE_BITS and entry["type"] not in ("Bitpack", "Huffman", "Bitshuffle"):
+        return TYPE_BITS[kind] // 8
+    return _value_bytes(by_name[entry["inputs"][0]["from"]], by_name) if entry.get("inputs") and entry["type"] != "Bitpack" else 0
 
 
 def from_config(config: dict) -> Pipeline:
-    dims = config.get("pipeline", {}).get("dims")
-    pipe = Pipeline(tuple((*dims, 1, 1)[:3]) if dims else None)
-    for entry in config.get("stage", []):
+    """A pipeline from a dictionary: ``pipeline`` (dims, pad) and ``stage``, a list of stages with name, type, inputs and options.
+
+    Element types, error_bound_mode, element_width, chunk_size, levels and encode_mode are taken as well as the stages' own options.
+    """
+    head = dict(config.get("pipeline", {}))
+    dims, pad = head.pop("dims", None), head.pop("pad", False)
+    if unknown := set(head) - set(RUN_KEYS):
+        raise ValueError(f"a pipeline has no option {', '.join(sorted(unknown))}")
+    pipe = Pipeline(tuple((*dims, 1, 1)[:3]) if dims else None, pad)
+    entries = config.get("stage", [])
+    by_name = {e.get("name"): e for e in entries}
+    for entry in entries:
         for key in ("name", "type"):
             if key not in entry:
                 raise ValueError(f"a stage has no {key}")
-        pipe.add(entry["name"], make_stage(entry["type"], {k: v for k, v in entry.items() if k not in ("name", "type", "inputs")}))
-    for entry in config.get("stage", []):
+        options = {k: v for k, v in entry.items() if k not in ("name", "type", "inputs")}
+        if entry["type"] == "Bitshuffle" and "element_width" in entry:
+            options["value_width"] = _value_bytes(entry, by_name)
+        pipe.add(entry["name"], make_stage(entry["type"], options))
+    for entry in entries:
         for i in entry.get("inputs", []):
+            if i["from"] not in by_name:
+                raise ValueError(f"{entry['name']} takes its input from {i['from']}, which is no stage")
             pipe.connect(entry["name"], i["from"], i.get("port"))
     return pipe.finalize()
 
 
+def loads(text: str) -> Pipeline:
+    return from_config(tomllib.loads(text))
+
+
 def load(path: str) -> Pipeline:
-    with open(path, "rb") as f:
-        return from_config(tomllib.load(f))
+    with open(path, encoding="utf-8") as f:
+        return loads(f.read())
 
 
 def _value(v) -> str:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from terrane.functions import numeric
 from terrane.operators import coders, metrics, predictors, quantizer
-from terrane.plans.config import preset
+from terrane.plans.config import dumps, from_config, loads, preset
 from terrane.plans.pipeline import Pipeline
 from terrane.sources import container
-from terrane.sources.fields import coordinates, from_blocks, indexed, padded, to_blocks
+from terrane.sources.fields import coordinates, from_blocks, indexed, padded, read_raw, scratch, to_blocks, write_raw
 
 EB, RADIUS = 0.5, 256
 
@@ -159,7 +159,12 @@ def quant_rel(spark, d):
     return _rounded(rows.join(back, "idx").select("idx", "bin", "code", "back", ok.alias("in_bound")), "back")
 
 
-@query()
+@query(f"WITH {EV}, {REL} SELECT ev.idx, bin IS NULL OR abs(ev.v) >= 100 AS is_outlier, CASE WHEN abs(ev.v) >= 100 THEN NULL ELSE bin END AS bin FROM ev LEFT JOIN rb USING (idx)")
+def quant_rel_threshold(spark, d):
+    return quantizer.quantize_rel(events(spark, d), 1e-3, threshold=100.0).select("idx", "is_outlier", "bin")
+
+
+@query(f"WITH {EV}, {QABS} SELECT idx, coalesce(q * 2 * 0.5::DOUBLE, CAST(CAST(v AS FLOAT) AS DOUBLE)) AS v FROM q")
 def quant_in_place(spark, d):
     codes = quantizer.in_place(events(spark, d), EB, RADIUS)
     return quantizer.from_in_place(codes, EB, RADIUS)
@@ -195,26 +200,24 @@ def lorenzo_quant_bounds(spark, d):
     return noa.join(_fused(spark, d, mode="rel", eb=0.01).select("idx", F.col("p").alias("p_rel")), "idx")
 
 
-def _neighbours(key: str, axes: str, value: str) -> str:
-    """SQL of inclusion-exclusion over the neighbours of a tile, by joins on coordinates."""
-    rest, sign = [], {}
-    for m in range(1 << len(axes)):
-        at = [f"{a} - {m >> k & 1}" for k, a in enumerate(axes)]
-        sign[m] = (-1) ** bin(m).count("1")
-        rest.append(at)
-    terms = [f"coalesce({'' if s > 0 else '-'}n{m}.w, 0)" for m, s in sign.items() if m]
-    same = [" AND ".join([f"n{m}.{a} = a.{a} - {m >> k & 1}" for k, a in enumerate(axes)] + ([f"(a.{a}) // {key} = (a.{a} - {m >> k & 1}) // {key} AND a.{a} >= {m >> k & 1}" for k, a in enumerate(axes)] if key else [])) for m in range(1, 1 << len(axes))]
-    joins = " ".join(f"LEFT JOIN s n{m} ON {c}" for m, c in enumerate(same, 1))
-    return f"SELECT a.idx, a.w AS p, a.w + {' + '.join(terms)} AS delta FROM s a {joins}"
+def _steps(tile: int, axes: str) -> str:
+    """SQL of the difference to the element before along each axis in turn, within tiles if there are any: ``t`` has idx, p and delta."""
+    out, last = [], "s"
+    for k, axis in enumerate(axes):
+        key = [a for a in axes if a != axis] + ([f"{a} // {tile}" for a in axes] if tile else [])
+        value = "w" if not k else "delta"
+        out.append(f"t{k} AS (SELECT *{' EXCLUDE (delta)' if k else ''}, {value} - coalesce(lag({value}) OVER (PARTITION BY {', '.join(key)} ORDER BY {axis}), 0) AS delta FROM {last})")
+        last = f"t{k}"
+    return ", ".join(out) + f", t AS (SELECT idx, w AS p, delta FROM {last})"
 
 
-@query(f"WITH {GRID2}, s AS (SELECT x, y, idx, n AS w FROM gi), t AS ({_neighbours('32', 'xy', 'n')}) SELECT idx, p, delta, abs(delta) >= 256 AS is_outlier FROM t")
+@query(f"WITH {GRID2}, s AS (SELECT x, y, idx, n AS w FROM gi), {_steps(32, 'xy')} SELECT idx, p, delta, abs(delta) >= 256 AS is_outlier FROM t")
 def lorenzo_quant_2d(spark, d):
     rows = predictors.lorenzo_quantize(grid2(spark, d), 2, "abs", EB, RADIUS)
     return _restored(rows, 2).select("idx", "p").join(rows.select("idx", "delta", "is_outlier"), "idx")
 
 
-@query(f"WITH {GRID3}, s AS (SELECT x, y, z, idx, CAST(round(v) AS BIGINT) AS w FROM c), t AS ({_neighbours('8', 'xyz', 'n')}) SELECT idx, p, delta, abs(delta) >= 256 AS is_outlier FROM t")
+@query(f"WITH {GRID3}, s AS (SELECT x, y, z, idx, CAST(round(v) AS BIGINT) AS w FROM c), {_steps(8, 'xyz')} SELECT idx, p, delta, abs(delta) >= 256 AS is_outlier FROM t")
 def lorenzo_quant_3d(spark, d):
     rows = predictors.lorenzo_quantize(grid3(spark, d), 3, "abs", EB, RADIUS)
     return _restored(rows, 3).select("idx", "p").join(rows.select("idx", "delta", "is_outlier"), "idx")
@@ -232,12 +235,12 @@ def _lossless(rows: DataFrame, dims: int) -> DataFrame:
     return out.select("idx", "delta").join(back, "idx")
 
 
-@query(f"WITH {GRID2}, s AS (SELECT x, y, idx, n AS w FROM gi), t AS ({_neighbours('', 'xy', 'n')}) SELECT idx, p, delta FROM t")
+@query(f"WITH {GRID2}, s AS (SELECT x, y, idx, n AS w FROM gi), {_steps(0, 'xy')} SELECT idx, p, delta FROM t")
 def lorenzo_2d(spark, d):
     return _lossless(grid2(spark, d).withColumn("v", F.round("v").cast("long")), 2)
 
 
-@query(f"WITH {GRID3}, s AS (SELECT x, y, z, idx, n AS w FROM c), t AS ({_neighbours('', 'xyz', 'n')}) SELECT idx, p, delta FROM t")
+@query(f"WITH {GRID3}, s AS (SELECT x, y, z, idx, n AS w FROM c), {_steps(0, 'xyz')} SELECT idx, p, delta FROM t")
 def lorenzo_3d(spark, d):
     return _lossless(coordinates(ints(spark, d), 10, 10), 3)
 
@@ -332,11 +335,15 @@ def bitshuffle_inverse(spark, d):
 
 
 def _sparse(spark, d):
-    """Bytes that are mostly zero: the low byte of a count where the event is large, else 0."""
-    return events(spark, d).select("idx", F.when(F.col("v") >= 100, F.floor("v").cast("long") % 256).otherwise(0).cast("long").alias("v"))
+    """Sixteen bytes for each event, in stretches without zeros, of zeros alone, and of few others: chunks of every kind."""
+    kind = F.expr("idx div 1500 % 3")
+    few = F.when((F.col("v") >= 100) & (F.col("b") % 5 == 0), F.floor("v").cast("long") % 256).otherwise(0)
+    byte = F.when(kind == 0, 1 + (F.col("idx") * 7 + F.col("b") * 13) % 255).when(kind == 1, 0).otherwise(few)
+    rows = events(spark, d).select("idx", "v", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("b"))
+    return rows.select((F.col("idx") * 16 + F.col("b")).alias("idx"), byte.cast("long").alias("v"))
 
 
-BYTES = f"{EV}, bt AS (SELECT idx, CASE WHEN v >= 100 THEN CAST(floor(v) AS BIGINT) % 256 ELSE 0 END AS v FROM ev)"
+BYTES = f"{EV}, bt AS (SELECT idx * 16 + b AS idx, CASE idx // 1500 % 3 WHEN 0 THEN 1 + (idx * 7 + b * 13) % 255 WHEN 1 THEN 0 ELSE CASE WHEN v >= 100 AND b % 5 = 0 THEN CAST(floor(v) AS BIGINT) % 256 ELSE 0 END END AS v FROM ev, generate_series(0, 15) AS t(b))"
 ZE = f"{BYTES}, r0 AS (SELECT idx // 16384 AS chunk, idx % 16384 AS i, CASE WHEN v <> 0 THEN 1 ELSE 0 END AS bit FROM bt), ks AS (SELECT DISTINCT chunk FROM r0), " + ", ".join(f"e{k} AS (SELECT chunk, i FROM ks, generate_series(0, {16384 >> (3 * k)} - 1) AS t(i)), m{k} AS (SELECT e.chunk, e.i, coalesce(sum(b.bit << CAST(b.i % 8 AS INT)), 0) AS b FROM e{k} e LEFT JOIN r{k - 1} b ON b.chunk = e.chunk AND b.i // 8 = e.i GROUP BY 1, 2), r{k} AS (SELECT chunk, i, CASE WHEN b <> coalesce(lag(b) OVER (PARTITION BY chunk ORDER BY i), 0) THEN 1 ELSE 0 END AS bit FROM m{k})" for k in (1, 2, 3)) + ", tt AS (SELECT chunk, CAST(sum(bit) AS BIGINT) AS n_nonzero, count(*) AS n FROM r0 GROUP BY 1), zz AS (SELECT tt.chunk, n_nonzero, n, " + ", ".join(f"(SELECT CAST(sum(bit) AS BIGINT) FROM r{k} WHERE r{k}.chunk = tt.chunk) AS kept{k}" for k in (1, 2, 3)) + " FROM tt), zs AS (SELECT chunk, n_nonzero, kept1, kept2, kept3, CASE WHEN n_nonzero = 0 THEN 2 WHEN n_nonzero + kept1 + kept2 + kept3 + 6 >= 16382 THEN n ELSE n_nonzero + kept1 + kept2 + kept3 + 6 END AS size FROM zz)"
 
 
@@ -366,13 +373,17 @@ def huffman_range_check(spark, d):
     return coders.out_of_range(ints(spark, d), 1024)
 
 
-@query()
+# the two least trees, by weight and then least symbol, are joined until one is left; a symbol's length is how often it was joined
+HUFF = f"{SYM}, hs AS (SELECT v AS symbol, count(*) AS freq FROM sy GROUP BY 1), hu AS (SELECT list_sort(list({{'n': freq, 's': symbol, 'm': [symbol]}})) AS l, CAST([] AS BIGINT[]) AS joined FROM hs UNION ALL SELECT list_sort(list_append(l[3:], {{'n': l[1].n + l[2].n, 's': least(l[1].s, l[2].s), 'm': list_concat(l[1].m, l[2].m)}})), list_concat(l[1].m, l[2].m) FROM hu WHERE len(l) > 1), hl AS (SELECT symbol, count(*) AS length FROM (SELECT unnest(joined) AS symbol FROM hu) GROUP BY 1)"
+
+
+@query(f"WITH RECURSIVE {HUFF} SELECT symbol, CAST(length AS INT) AS length, CAST(pow(2, length) * coalesce(sum(pow(2, -length)) OVER (ORDER BY length, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS code FROM hl")
 def huffman_codebook(spark, d):
     book = coders.codebook(symbols(spark, d), 8)
     return spark.createDataFrame([(s, n, c) for s, (n, c) in sorted(book.items())], "symbol long, length int, code long")
 
 
-@query()
+@query(f"WITH RECURSIVE {HUFF} SELECT idx // 768 AS block, count(*) AS n, CAST(4 * ((sum(length) + 31) // 32) AS INT) AS n_bytes FROM sy JOIN hl ON v = symbol GROUP BY 1")
 def huffman_encoded_sizes(spark, d):
     rows = symbols(spark, d)
     return coders.huffman(rows, coders.codebook(rows, 8)).select("block", "n", F.length("bytes").alias("n_bytes"))
@@ -402,9 +413,9 @@ def recon_stats(spark, d):
     return _rounded(_rounded(out, "mse", "rmse", "mae", "max_error", "nrmse", digits=9), "psnr")
 
 
-@query("SELECT 100.0::DOUBLE AS percent_within")
+@query(f"WITH {EV}, {ERR} SELECT round(100.0::DOUBLE * count(*) FILTER (WHERE abs(o - r) <= 0.25) / count(*), 9) AS percent_within FROM er")
 def percent_within(spark, d):
-    return metrics.within_bound(*_recon(spark, d), EB * 1.01)
+    return _rounded(metrics.within_bound(*_recon(spark, d), EB / 2), "percent_within", digits=9)
 
 
 @query(f"WITH {EV}, {P1}, cn AS (SELECT delta, count(*) AS c FROM dl GROUP BY 1) SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS n_symbols, round(log2(sum(c)) - sum(c * log2(c)) / sum(c), 6) AS bits_per_symbol FROM cn")
@@ -422,12 +433,20 @@ def wide_histogram(spark, d):
     return metrics.wide_histogram(_fused(spark, d), "delta", 16)
 
 
-@query(f"WITH {BYTES}, nb AS (SELECT count(*) AS n FROM bt) SELECT n AS raw_bytes, 2 * ((n + 1) // 2) AS packed_bytes, round(n / (2.0::DOUBLE * ((n + 1) // 2)), 6) AS ratio FROM nb")
+@query(f"WITH {ZE}, ln AS (SELECT chunk, count(*) AS n FROM bt, LATERAL (SELECT idx // 16384 AS chunk) GROUP BY 1), by_chunk AS (SELECT n, CASE WHEN n_nonzero = 0 THEN 0 WHEN n_nonzero + kept1 + kept2 + kept3 + 12 >= n THEN n + 1 ELSE n_nonzero + kept1 + kept2 + kept3 + 13 END AS coded FROM zs JOIN ln USING (chunk)) SELECT CAST(sum(n) AS BIGINT) AS raw_bytes, CAST(sum(coded) AS BIGINT) AS coded_bytes, round(sum(n) / CAST(sum(coded) AS DOUBLE), 6) AS ratio FROM by_chunk")
 def compression_ratio(spark, d):
-    rows = _sparse(spark, d)
-    coded = to_blocks(rows, "<u1", 2).select("block", F.rpad(F.col("bytes"), 2, b"\0").alias("bytes"))
-    out = metrics.compression(rows.count(), coded).withColumnRenamed("coded_bytes", "packed_bytes")
-    return _rounded(out, "ratio")
+    blocks = to_blocks(_sparse(spark, d), "<u1", coders.CHUNK)
+    return _rounded(metrics.compression(blocks, coders.eliminate_zeros(blocks)), "ratio")
+
+
+@query(f"WITH {EV}, {P1} SELECT delta::DOUBLE AS low, count(*) AS n FROM dl WHERE abs(delta) <= 20 AND (SELECT count(*) FILTER (WHERE abs(delta) <= 20) > 0.05 * count(*) FROM dl) GROUP BY 1")
+def automatic_histogram(spark, d):
+    return metrics.histogram(_fused(spark, d), "delta", 20, 16)
+
+
+@query(f"WITH {EV}, {P1}, sp AS (SELECT min(delta)::DOUBLE AS low, max(delta)::DOUBLE AS high FROM dl) SELECT round(low + bucket * (high - low) / 16, 6) AS low, n FROM (SELECT CAST(least(floor((delta - low) * 16 / (high - low)), 15) AS BIGINT) AS bucket, count(*) AS n FROM dl, sp GROUP BY 1), sp")
+def automatic_histogram_wide(spark, d):
+    return _rounded(metrics.histogram(_fused(spark, d), "delta", 20, 16, least_share=1.0), "low")
 
 
 # sources, segments, pipelines
@@ -450,21 +469,125 @@ def input_padding(spark, d):
     return padded(rows, n, 1024).agg(F.count(F.lit(1)).alias("padded"), F.count_if(F.col("idx") < n).alias("original"), F.count_if(F.col("v") == 0).alias("zeros"))
 
 
-def _preset(name: str, lossless_sql: str):
+BACK_P = f"{EV}, b AS (SELECT CAST(0.001::FLOAT AS DOUBLE) * (max(v) - min(v)) AS eb FROM ev) SELECT idx, round(round(v * (1.0::DOUBLE / (2.0::DOUBLE * eb))) * 2 * eb, 6) AS v FROM ev, b"
+BACK_Q = f"{EV}, {NOA} SELECT idx, round(q * 2 * eb, 6) AS v FROM qn"
+
+
+def _back(pipe: Pipeline, rows: DataFrame) -> DataFrame:
+    return _rounded(pipe.decompress(pipe.compress(rows)).select("idx", "v"), "v")
+
+
+def _preset(name: str, sql: str):
     def run(spark, d):
-        rows = events(spark, d)
-        pipe = preset(name)
-        back = pipe.decompress(pipe.compress(rows))
-        span = rows.agg((F.max("v") - F.min("v")).alias("span"))
-        both = rows.join(back.select("idx", F.col("v").alias("r")), "idx").crossJoin(F.broadcast(span))  # one row
-        return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("v") - F.col("r")) > 1.01e-3 * F.col("span")).alias("n_beyond"))
+        return _back(preset(name), events(spark, d))
 
     run.__name__ = f"preset_{name}"
-    return query(lossless_sql)(run)
+    return query(f"WITH {sql}")(run)
+
+
+for _name, _form in (("predict_huffman", BACK_P), ("lorenzo_bitpack", BACK_P), ("quantize_diff_zeros", BACK_Q), ("quantizer_lorenzo_bitpack", BACK_Q), ("speed", BACK_Q)):
+    _preset(_name, _form)
+
+
+def _predictor(**options) -> dict:
+    return {"name": "predict", "type": "LorenzoQuant", "input_type": "float64", "code_type": "uint32", "error_bound": EB, "error_bound_mode": "ABS", "quant_radius": RADIUS, "zigzag_codes": True} | options
+
+
+BACK_ABS = f"{EV}, {P1} SELECT idx, p * 1.0::DOUBLE AS v FROM dl"
+
+
+@query(f"WITH {BACK_ABS}")
+def outlier_branches(spark, d):
+    """Run lengths on the outliers' positions, bit planes and zero elimination on their errors, bit planes on the codes."""
+    stages = [
+        _predictor(),
+        {"name": "shuffle", "type": "Bitshuffle", "element_width": 4, "inputs": [{"from": "predict", "port": "codes"}]},
+        {"name": "zeros", "type": "RZE", "levels": 4, "inputs": [{"from": "shuffle", "port": "output"}]},
+        {"name": "errors", "type": "Bitshuffle", "element_width": 4, "inputs": [{"from": "predict", "port": "outlier_errors"}]},
+        {"name": "error_zeros", "type": "RZE", "inputs": [{"from": "errors"}]},
+        {"name": "steps", "type": "Difference", "input_type": "uint32", "inputs": [{"from": "predict", "port": "outlier_indices"}]},
+        {"name": "runs", "type": "RLE", "data_type": "uint32", "inputs": [{"from": "steps"}]},
+    ]
+    return _back(from_config({"stage": stages}), events(spark, d))
+
+
+@query(f"WITH {BACK_ABS}")
+def fan_out(spark, d):
+    """One port taken by two stages: either alone gives the field back."""
+    stages = [_predictor(), {"name": "runs", "type": "RLE", "inputs": [{"from": "predict"}]}, {"name": "code", "type": "Huffman", "bklen": 2 * RADIUS, "encode_mode": "Fine", "inputs": [{"from": "predict"}]}]
+    pipe = from_config({"stage": stages})
+    data = pipe.compress(events(spark, d))
+    assert len(data.held) == 1
+    return _rounded(pipe.decompress(data).select("idx", "v"), "v")
+
+
+@query(f"WITH {BACK_ABS}")
+def padded_pipeline(spark, d):
+    """The field filled up to whole blocks before, and cut to its length after."""
+    stages = [_predictor(), {"name": "shuffle", "type": "Bitshuffle", "block_size": 8192, "element_width": 2, "inputs": [{"from": "predict"}]}]
+    return _back(from_config({"pipeline": {"pad": True}, "stage": stages}), events(spark, d))
+
+
+@query(f"WITH {EV}, b AS (SELECT CAST(0.001::FLOAT AS DOUBLE) * 512 AS eb), qb AS (SELECT idx, v, eb, CAST(round_even(CAST(CAST(v AS FLOAT) * CAST(1.0::DOUBLE / (2.0::DOUBLE * eb) AS FLOAT) AS DOUBLE), 0) AS BIGINT) AS q FROM ev, b) SELECT idx, round(CASE WHEN abs(q) < 256 THEN q * 2 * eb ELSE CAST(CAST(v AS FLOAT) AS DOUBLE) END, 6) AS v FROM qb")
+def in_place_pipeline(spark, d):
+    """Outliers in place of their codes, with a range given beforehand, packed in as many bits as they need."""
+    stages = [{"name": "quantize", "type": "Quantizer", "error_bound_mode": "NOA", "error_bound": 1e-3, "value_base": 512.0, "quant_radius": 256, "inplace_outliers": True}, {"name": "pack", "type": "Bitpack", "nbits": 0, "inputs": [{"from": "quantize"}]}]
+    return _back(from_config({"stage": stages}), events(spark, d))
+
+
+@query(f"WITH {EV}, {P1}, rk AS (SELECT idx, row_number() OVER (ORDER BY idx) AS r FROM dl WHERE abs(delta) >= 256), n AS (SELECT CAST(ceil(count(*) * 0.02::DOUBLE) AS BIGINT) AS room FROM dl) SELECT idx FROM rk, n WHERE r <= room")
+def predictor_strict_capacity(spark, d):
+    """The outliers that a strict capacity of 2 % keeps."""
+    pipe = from_config({"stage": [_predictor(outlier_capacity=0.02, strict_capacity=True)]})
+    return pipe.compress(events(spark, d)).segments["predict", "outlier_indices"].select(F.col("v").alias("idx"))
+
+
+@query(f"WITH {GRID2}, s AS (SELECT x, y, idx, n AS w FROM gi) SELECT idx, w AS v FROM s")
+def lossless_2d_pipeline(spark, d):
+    """Lossless prediction over two dimensions as a stage, and back."""
+    rows = grid2(spark, d).select("idx", F.round("v").cast("long").alias("v"))
+    pipe = from_config({"pipeline": {"dims": [64, rows.count() // 64]}, "stage": [{"name": "predict", "type": "Lorenzo", "data_type": "int32", "dims": 2}, {"name": "zigzag", "type": "Zigzag", "input_type": "int32", "inputs": [{"from": "predict"}]}]})
+    return pipe.decompress(pipe.compress(rows)).select("idx", numeric.signed(F.col("v"), 32).alias("v"))
+
+
+@query(f"WITH {EV} SELECT idx, v FROM ev")
+def raw_file_roundtrip(spark, d):
+    """The field as one raw file in the shared folder, and read again."""
+    path = scratch(spark, "raw")
+    write_raw(events(spark, d), path, "f64")
+    return read_raw(spark, path, "f64").select("idx", "v")
+
+
+@query(f"WITH {BACK_P}")
+def container_roundtrip(spark, d):
+    """A container in the shared folder: written, its manifest and checksums read, the pipeline made again from it, the field restored."""
+    path, pipe = scratch(spark, "container"), preset("predict_huffman")
+    container.write(spark, pipe, pipe.compress(events(spark, d)), path)
+    return _rounded(container.decompress(spark, path).select("idx", "v"), "v")
+
+
+@query(f"WITH {BACK_Q}")
+def toml_roundtrip(spark, d):
+    """A pipeline written as TOML and made again from it."""
+    return _back(loads(dumps(preset("quantize_diff_zeros"))), events(spark, d))
+
+
+OR = "ev AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_totalprice AS v FROM orders)"
+
+
+def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexed(_table(spark, sf_dir, "orders"), "o_orderkey", F.col("o_totalprice").cast("double"))
+
+
+@query(f"WITH {OR}, {P1} SELECT idx, delta, abs(delta) >= 32768 AS is_outlier FROM dl")
+def orders_predicted(spark, d):
+    """A field of wide range, most of whose steps are outliers."""
+    return predictors.lorenzo_quantize(orders(spark, d), 1, "abs", EB, 32768).select("idx", "delta", "is_outlier")
 
 
-for _name in ("predict_huffman", "lorenzo_bitpack", "quantize_diff_zeros", "quantizer_lorenzo_bitpack", "speed"):
-    _preset(_name, "SELECT count(*) AS n, 0::BIGINT AS n_beyond FROM events")
+@query(f"WITH {OR}, b AS (SELECT CAST(0.001::FLOAT AS DOUBLE) * (max(v) - min(v)) AS eb FROM ev) SELECT idx, round(round(v * (1.0::DOUBLE / (2.0::DOUBLE * eb))) * 2 * eb, 6) AS v FROM ev, b")
+def orders_preset(spark, d):
+    return _back(preset("predict_huffman"), orders(spark, d))
 
 
 @query(f"WITH {EV}, {P1} SELECT 'codes' AS port, count(*) AS n FROM dl UNION ALL SELECT 'outliers', count(*) FILTER (WHERE abs(delta) >= 256) FROM dl")
@@ -474,7 +597,7 @@ def pipeline_segments(spark, d):
     pipe = Pipeline()
     pipe.add("predict", LorenzoQuant(1, "abs", EB, RADIUS))
     out = pipe.finalize().compress(events(spark, d))
-    first, second = (out.segments["predict", p].select(F.lit(p).alias("port")) for p in ("codes", "outliers"))
+    first, second = (out.segments["predict", p].select(F.lit(n).alias("port")) for p, n in (("codes", "codes"), ("outlier_errors", "outliers")))
     every = spark.createDataFrame([("codes",), ("outliers",)], "port string")
     counts = first.unionByName(second).groupBy("port").agg(F.count(F.lit(1)).alias("n"))
     return every.join(counts, "port", "left").select("port", F.coalesce("n", F.lit(0)).alias("n"))

@@ -7,6 +7,7 @@ that does not depend on the order of rows. It has a CRC of its own.
 from __future__ import annotations
 
 import json
+import warnings
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +52,7 @@ def write(spark: SparkSession, pipe: Pipeline, data: Compressed, path: str) -> N
 
 
 def read(spark: SparkSession, path: str, verify: bool = True) -> tuple[Pipeline, Compressed]:
-    """The pipeline and its segments. A wrong magic word, another major version or a failed checksum is an error."""
+    """The pipeline and its segments. A wrong magic word, another major version or a failed checksum is an error, another minor version a warning."""
     row = spark.read.parquet(f"{path}/manifest").first()
     if row is None or zlib.crc32(row["manifest"].encode()) != row["crc32"]:
         raise ValueError("the manifest is damaged")
@@ -60,6 +61,8 @@ def read(spark: SparkSession, path: str, verify: bool = True) -> tuple[Pipeline,
         raise ValueError("not a container")
     if body["major"] != MAJOR:
         raise ValueError(f"version {body['major']}.{body['minor']} can't be read")
+    if body["minor"] != MINOR:
+        warnings.warn(f"the container has version {body['major']}.{body['minor']}, this library writes {MAJOR}.{MINOR}", stacklevel=2)
     segments = {}
     for s in body["segments"]:
         rows = spark.read.parquet(f"{path}/{s['stage']}.{s['port']}")

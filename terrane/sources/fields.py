@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,36 +48,100 @@ def parse_dims(text: str, count: int | None = None) -> tuple[int, int, int]:
     return x, y, z
 
 
-def read_raw(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """(path, idx, v) of raw little-endian files. A size that is no multiple of the element's is an error."""
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. A session on one machine that has none gets a temporary one; a
+    cluster without it is an error, as executors would write to disks of their own."""
+    if where := spark.conf.get("spark.checkpoint.dir", None):
+        return where.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
+    return _local[app]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def _raw_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Files below a path or pattern, with their sizes."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(at) or []
+    files = [f for s in found for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    out = [(f.getPath().toString(), f.getLen()) for f in files if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    if not out:
+        raise FileNotFoundError(path)
+    return sorted(out)
+
+
+def read_raw(spark: SparkSession, path: str, kind: str, whole_bytes: int = 64 << 20) -> DataFrame:
+    """(path, idx, v) of raw little-endian files. A size that is no multiple of the element's is an error.
+
+    Files of up to ``whole_bytes`` come as one row each. A larger one is read in records, of as many elements as divide its number, by as
+    many tasks as it has splits.
+    """
     code, name = KINDS[kind]
+    width, files = np.dtype(code).itemsize, _raw_files(spark, path)
+    for file, size in files:
+        if size % width:
+            raise ValueError(f"{file}: {size} bytes are not a multiple of {width}")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = np.dtype(code).itemsize
         for batch in batches:
-            for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(data) % width:
-                    raise ValueError(f"{file}: {len(data)} bytes are not a multiple of {width}")
+            for file, first, data in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 values = np.frombuffer(data, code)
                 for at in range(0, len(values), 1 << 18):
                     part = values[at : at + (1 << 18)]
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], names=["path", "idx", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(part)), pa.array(np.arange(first + at, first + at + len(part))), pa.array(part)], names=["path", "idx", "v"])
+
+    parts = []
+    if small := [f for f, size in files if size <= whole_bytes]:
+        parts.append(spark.read.format("binaryFile").load(small).select("path", F.lit(0).cast("long").alias("first"), "content"))
+    for file, size in files:
+        if size > whole_bytes:
+            n = size // width
+            each = max(d for d in range(1, 1 << 14) if n % d == 0)
+            records = spark.sparkContext.binaryRecords(file, each * width).zipWithIndex().map(lambda r, file=file, each=each: (file, r[1] * each, bytearray(r[0])))
+            parts.append(spark.createDataFrame(records, "path string, first long, content binary"))
+    return reduce(DataFrame.unionByName, parts).mapInArrow(decode, f"path string, idx long, v {name}")
+
+
+def ordered_values(field: DataFrame, per_block: int) -> DataFrame:
+    """(block, values): the values of every ``per_block`` positions as an array, in order of idx."""
+    items = F.array_sort(F.collect_list(F.struct("idx", "v")))
+    return field.groupBy(F.expr(f"idx div {per_block}").alias("block")).agg(items.alias("items")).select("block", F.col("items.v").alias("values"))
+
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(decode, f"path string, idx long, v {name}")
+def flat_values(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of arrays, and where each row's begin and the last ends."""
+    offsets = column.offsets.to_numpy() - column.offsets[0].as_py()
+    return column.flatten().to_numpy(zero_copy_only=False), offsets
 
 
 def to_blocks(field: DataFrame, code: str, per_block: int) -> DataFrame:
-    """(block, n, bytes): a field's elements as binary blocks of ``per_block`` elements, in order of idx."""
+    """(block, n, bytes): a field's elements as binary blocks of ``per_block`` elements, in order of idx.
+
+    Integers are stored modulo the width; what a narrow unsigned width can hold neither as it is nor as a negative number is an error.
+    """
+    kind = np.dtype(code)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = [np.array([e["v"] for e in row], dtype=np.float64 if np.dtype(code).kind == "f" else object) for row in batch.column(1).to_pylist()]
-            data = [b.astype(code).tobytes() if np.dtype(code).kind == "f" else np.array([int(x) & ((1 << 64) - 1) for x in b], np.uint64).astype(code).tobytes() for b in blocks]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(b) for b in blocks], pa.int64()), pa.array(data, pa.binary())], names=["block", "n", "bytes"])
+            values, at = flat_values(batch.column(1))
+            if kind.kind != "f" and kind.itemsize < 8 and len(values) and (int(values.max()) >> 8 * kind.itemsize or int(values.min()) < -(1 << 8 * kind.itemsize - 1)):
+                raise ValueError(f"values from {values.min()} to {values.max()} don't fit {8 * kind.itemsize} bits")
+            raw = values.astype(kind) if kind.kind == "f" else values.astype(np.int64).view(np.uint64).astype(kind)
+            data = [raw[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), pa.array(data, pa.binary())], names=["block", "n", "bytes"])
 
-    grouped = field.groupBy(F.expr(f"idx div {per_block}").alias("block")).agg(F.array_sort(F.collect_list(F.struct("idx", "v"))).alias("items"))
-    return grouped.mapInArrow(pack, "block long, n long, bytes binary")
+    return ordered_values(field, per_block).mapInArrow(pack, "block long, n long, bytes binary")
 
 
 def from_blocks(blocks: DataFrame, code: str, per_block: int) -> DataFrame:
@@ -91,9 +158,31 @@ def from_blocks(blocks: DataFrame, code: str, per_block: int) -> DataFrame:
     return blocks.select("block", "bytes").mapInArrow(unpack, f"idx long, v {'double' if floating else 'long'}")
 
 
-def write_raw(field: DataFrame, path: str, kind: str, per_block: int = 1 << 20) -> None:
-    """The field's bytes as Parquet rows (block, bytes) in order of block; a raw file is their concatenation."""
-    to_blocks(field, KINDS[kind][0], per_block).select("block", "bytes").write.mode("overwrite").parquet(path)
+def write_raw(field: DataFrame, path: str, kind: str, per_block: int = 1 << 18) -> int:
+    """Writes the field's values in order of idx as one raw little-endian file, in any file system that Spark knows; the bytes written.
+
+    Tasks make the blocks and sort them; the driver appends one block after the other, as a raw file has one end, and holds no more.
+    """
+    spark = field.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out, total = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True), 0
+    try:
+        for row in to_blocks(field, KINDS[kind][0], per_block).orderBy("block").toLocalIterator():
+            out.write(row["bytes"])
+            total += len(row["bytes"])
+    finally:
+        out.close()
+    return total
+
+
+def write_raw_blocks(field: DataFrame, path: str, kind: str, per_block: int = 1 << 20) -> None:
+    """The field's bytes as Parquet rows (block, n, bytes), written by all tasks; a raw file is their concatenation."""
+    to_blocks(field, KINDS[kind][0], per_block).write.mode("overwrite").parquet(path)
+
+
+def read_raw_blocks(spark: SparkSession, path: str, kind: str, per_block: int = 1 << 20) -> DataFrame:
+    """(idx, v) of ``write_raw_blocks``."""
+    return from_blocks(spark.read.parquet(path), KINDS[kind][0], per_block)
 
 
 def padded(field: DataFrame, count: int, multiple: int) -> DataFrame:

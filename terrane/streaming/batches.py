@@ -12,7 +12,7 @@ from terrane.operators.quantizer import quantize
 
 
 def quantized_stream(stream: DataFrame, eb: float, radius: int = 32768) -> DataFrame:
-    """A stream (idx, v) with codes; an absolute bound needs no state."""
+    """A stream (idx, v) with codes; an absolute bound needs no state. Other columns, such as a time, stay."""
     return quantize(stream, "abs", eb, radius)
 
 
