@@ -212,6 +212,20 @@ def _thinned(other: np.ndarray, a: np.ndarray, b: np.ndarray, k: int) -> np.ndar
     return order[((at - np.maximum.accumulate(np.where(new[:-1], at, 0))) % k == 0) | new[1:]]
 
 
+def _sparser(other: np.ndarray, a: np.ndarray, b: np.ndarray, k: int, step: int) -> np.ndarray:
+    """Of anchors to one earlier position that overlap each other, the first, one for every ``step`` words, and the last.
+
+    Overlapping words with one seed repeat themselves, as in a text of one word over and over, and all of their anchors say the same: the
+    words around one of them, ``2 * step`` on each side, are aligned all the same.
+    """
+    order = np.lexsort((a, b, other))
+    other, a, b = other[order], a[order], b[order]
+    new = np.ones(len(a) + 1, bool)
+    new[1:-1] = (other[1:] != other[:-1]) | (b[1:] != b[:-1]) | (a[1:] - a[:-1] >= k)
+    slot = (a - a[np.maximum.accumulate(np.where(new[:-1], np.arange(len(a)), 0))]) // step
+    return order[new[:-1] | new[1:] | (np.diff(slot, prepend=-1) != 0)]
+
+
 def _by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Matches that come in order of documents: each document with its columns."""
     doc, held = None, []
@@ -238,6 +252,8 @@ def _chained(k: int, reach: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
         for doc, (others, a, b) in _by_doc(batches):
+            kept = _sparser(others, a, b, k, reach // 2)
+            others, a, b = others[kept], a[kept], b[kept]
             kept = _thinned(others, a, b, k)
             by: dict[int, list[tuple[int, int]]] = {}
             for other, p, q in zip(others[kept].tolist(), a[kept].tolist(), b[kept].tolist(), strict=True):
