@@ -4,9 +4,12 @@ Corners are found at several scales, each gets an orientation and 256 binary int
 Corners whose descriptors differ in three bits at most match: these agree in one of four 64-bit words, so all of them meet in a table of
 such words. Pairs of images whose matched corners follow one similarity transform are copies, cropped, brightened, turned or scaled.
 
-Each table entry passes the exchange packed, in some forty bytes, once for each of two rounds. The first gives the matches of the least
-image of a bucket with the others, as many as entries. The second compares all entries of a bucket, but for those of images that the
-first has put into one class; so a large group of copies does not give all its pairs, and no match that joins two classes is lost.
+Each table entry passes the exchange packed, in some fifty bytes, once for each of two rounds. The first gives the matches of the least
+image of a word with the others, as many as entries. The second leaves out images that the first has put into one class, so a large
+group of copies does not give all its pairs. It gives all matches of words with few entries; words with many, of corners that look
+alike in unrelated images, are only named. A pair of images can have no more matches than those of few, and as many of its corners as lie
+in words with many; what can reach the least number by that is compared corner by corner, and images that can reach it by words with many
+alone are compared over these in a third round. So no match that joins two classes is lost.
 
 The media column is (width, height, pixels): 8-bit grey values by rows. The corpus has no table of images, so ``drawn_images`` draws
 one from every embedding, and an edited copy for some; the operator itself takes any table of this form.
@@ -31,6 +34,14 @@ SCALES = (1.0, 0.75, 0.5625)
 RADIUS = 15
 TABLES = 4
 FAR = TABLES - 1
+
+#: Matched corners at different places that a pair of images needs, and how many entries make a word one of few. Compared one with the other,
+#: 0.99 of drawn pictures have four in common with their cropped and brightened copy (0.95 have six); of 180,000 unrelated pairs none has two.
+LEAST, FEW = 4, 16
+
+#: Words with many entries, up to this many (12 bytes each), are broadcast; beyond it the join is shuffled.
+BROADCAST_WORDS = 1_000_000
+
 IMAGE = "image_id long, width int, height int, pixels binary"
 DESCRIBED = "image long, n int, places binary, bits binary"
 MATCH = "a long, b long, p int, q int"
@@ -234,81 +245,105 @@ def _near_in(bits: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield u[close], v[close]
 
 
-def _met(stars: bool, small: int = 256):
-    """Matches of the buckets: those with the least image of each (``stars``), or all between images of different labels, each once."""
+def _met(mode: str, few: int = FEW, small: int = 256):
+    """Matches of the buckets: those with the least image of each word (``stars``), all between images of different labels, each once
+    (``all``), or these of words with up to ``few`` entries; larger ones are named instead, as (word, null, table, entries)."""
 
-    def bucket(table: int, blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def bucket(table: int, blobs: list[bytes]) -> Iterator[list[np.ndarray | None]]:
         image, label, corner, bits = _unpacked(blobs)
         order = np.lexsort((corner, image, bits[:, table]))
         image, label, corner, bits = image[order], label[order], corner[order], bits[order]
         start, size = _spans(bits[:, table])
-        if stars:
+        if mode == "stars":
             head = np.repeat(start, size)
             v = np.flatnonzero(image != image[head])
             found = [(head[v], v)]
         else:
             several = (size > 1) & (np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start))
-            few = several & (size <= small)
-            found = ((u[other], v[other]) for u, v in _all_pairs(start[few], size[few]) for other in [label[u] != label[v]])
-            rest = np.delete(np.arange(TABLES), table)
-            large = ((u + a, v + a) for a, n in zip(start[several & ~few], size[several & ~few], strict=True) for u, v in _near_in(np.ascontiguousarray(bits[a : a + n][:, rest]), label[a : a + n]))
-            found = chain(found, large)
+            paired = several & (size <= (few if mode == "few" else small))
+            found = ((u[other], v[other]) for u, v in _all_pairs(start[paired], size[paired]) for other in [label[u] != label[v]])
+            large = several & ~paired
+            if mode == "few":
+                words = bits[start[large], table].view(np.int64)
+                yield [pa.array(words), pa.nulls(len(words), pa.int64()), pa.array(np.full(len(words), table, np.int32)), pa.array(size[large].astype(np.int32))]
+            else:
+                rest = np.delete(np.arange(TABLES), table)
+                found = chain(found, ((u + a, v + a) for a, n in zip(start[large], size[large], strict=True) for u, v in _near_in(np.ascontiguousarray(bits[a : a + n][:, rest]), label[a : a + n])))
         for u, v in found:
-            keep = _close(bits, u, v) & (bits[u, :table] != bits[v, :table]).all(1)
+            # each match in the first table that has it; where large words are left out, in each
+            keep = _close(bits, u, v) & ((bits[u, :table] != bits[v, :table]).all(1) if mode == "all" else True)
             u, v = u[keep], v[keep]
             swap = image[u] > image[v]
             u, v = np.where(swap, v, u), np.where(swap, u, v)
-            yield image[u], image[v], corner[u], corner[v]
+            yield [pa.array(x) for x in (image[u], image[v], corner[u], corner[v])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held = None, []
-        for b, table, blob in ((b, t, x) for batch in batches for b, t, x in zip(*(batch.column(c).to_pylist() for c in ("bucket", "table", "entries")), strict=True)):
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "table", "entries")), strict=True))
+        for b, table, blob in chain(rows, [(None, None, None)]):
             if (b, table) != here and held:
-                yield from (pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b", "p", "q"]) for x in bucket(here[1], held) if len(x[0]))
+                yield from (pa.RecordBatch.from_arrays(x, names=["a", "b", "p", "q"]) for x in bucket(here[1], held) if len(x[0]))
                 held = []
             here = b, table
             held.append(blob)
-        if held:
-            yield from (pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b", "p", "q"]) for x in bucket(here[1], held) if len(x[0]))
 
     return run
 
 
-def consensus(matches: np.ndarray) -> int:
-    """The most matches (x, y, scale, angle of both sides) that follow the transform of one of them, each corner counted once."""
-    a, b = matches[:, :4], matches[:, 4:]
+def consensus(matches: np.ndarray, near: float = 3.0, loose: float = 8.0) -> int:
+    """The most matches (x, y, scale, angle of both sides) that follow one similarity transform, each corner counted once.
+
+    Each match proposes the transform of its scales and angles. As an angle is known to a few degrees only, the matches that follow it
+    loosely give a better one by least squares, and what follows that within ``near`` pixels counts.
+    """
+    a, b = (matches[:, k] + 1j * matches[:, k + 1] for k in (0, 4))
+    grow = matches[:, 2] / matches[:, 6] * np.exp(1j * (matches[:, 7] - matches[:, 3]))
     best = 0
     for i in range(len(matches)):
-        turn, grow = b[i, 3] - a[i, 3], a[i, 2] / b[i, 2]
-        c, s = np.cos(turn) * grow, np.sin(turn) * grow
-        d = a[:, :2] - a[i, :2]
-        x, y = b[i, 0] + c * d[:, 0] - s * d[:, 1], b[i, 1] + s * d[:, 0] + c * d[:, 1]
-        near = (np.abs(x - b[:, 0]) < 3) & (np.abs(y - b[:, 1]) < 3)
-        best = max(best, min(len(np.unique(np.rint(side[near, :2] / 4), axis=0)) for side in (a, b)) if near.any() else 0)
+        for alpha, origin, image, reach in ((grow[i], a[i], b[i], near), (None, None, None, near)):
+            if alpha is None:
+                close = np.abs(b - b[i] - grow[i] * (a - a[i])) < loose
+                origin, image = a[close].mean(), b[close].mean()
+                spread = (np.abs(a[close] - origin) ** 2).sum()
+                if spread < 1:
+                    continue
+                alpha = (np.conj(a[close] - origin) * (b[close] - image)).sum() / spread
+            held = np.abs(b - image - alpha * (a - origin)) < reach
+            if held.sum() > best:
+                best = max(best, min(len(np.unique(np.rint(side[held] / 4))) for side in (a, b)))
     return best
 
 
+def _all_matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of descriptors of two images that are close."""
+    p, q = [], []
+    for low in range(0, len(a), 512):
+        u, v = np.nonzero(np.bitwise_count(a[low : low + 512, None] ^ b[None]).sum(2) <= FAR)
+        p.append(u + low)
+        q.append(v)
+    return np.concatenate(p), np.concatenate(q)
+
+
 def _agreeing(least: int):
+    """Keeps pairs of images of whose corners ``least`` follow one transform; all corners of both are compared."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for a, b, matches, pa_, pb in zip(*(batch.column(c) for c in ("a", "b", "matches", "places_a", "places_b")), strict=True):
-                sides = [np.frombuffer(x.as_py(), "<f4").reshape(-1, 4)[matches.values.field(s).to_numpy()] for s, x in (("p", pa_), ("q", pb))]
-                agree = consensus(np.concatenate(sides, 1))
+            for a, b, *sides in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "places_a", "places_b", "bits_a", "bits_b")), strict=True):
+                p, q = _all_matches(*(np.frombuffer(x, "<u8").reshape(-1, TABLES) for x in sides[2:]))
+                first, second = (np.frombuffer(x, "<f4").reshape(-1, 4) for x in sides[:2])
+                agree = consensus(np.concatenate((first[p], second[q]), 1)) if len(p) >= least else 0
                 if agree >= least:
-                    out.append((a.as_py(), b.as_py(), agree))
+                    out.append((a, b, agree))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b", "n_corners"])
 
     return run
 
 
-def matched_images(described: DataFrame, labels: DataFrame | None, least: int = 6) -> DataFrame:
-    """a, b, n_corners: pairs of images at least ``least`` of whose matched corners follow one transform.
-
-    Without labels, of the pairs of the least image of a bucket with the others; with labels (node, component), of all images of
-    different components.
-    """
+def _matches(described: DataFrame, labels: DataFrame | None, mode: str) -> DataFrame:
+    """a, b, p, q: matches of corners p and q of images a and b, as ``_met`` gives them."""
     spark = described.sparkSession
     corners = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corners * TABLES // 1_000_000))
@@ -317,10 +352,42 @@ def matched_images(described: DataFrame, labels: DataFrame | None, least: int =
     else:
         rows = described.join(labels, F.col("image") == F.col("node"), "left").select("image", F.coalesce("component", "image").alias("label"), "bits")
     entries = rows.mapInArrow(_entries(parts), "bucket int, table int, entries binary").repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "table")
-    met = entries.mapInArrow(_met(labels is None), MATCH)
-    both = met.groupBy("a", "b").agg(F.collect_list(F.struct("p", "q")).alias("matches")).where(F.size("matches") >= least)
-    side = lambda s: described.select(F.col("image").alias(s), F.col("places").alias(f"places_{s}"))
-    return both.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(least), "a long, b long, n_corners long")
+    return entries.mapInArrow(_met(mode), MATCH)
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """image, corner, table, word of every entry."""
+    for batch in batches:
+        for image, data in zip(batch.column("image").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            words = np.frombuffer(data, "<i8")
+            n = np.arange(len(words))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), image)), pa.array((n // TABLES).astype(np.int32)), pa.array((n % TABLES).astype(np.int32)), pa.array(words)], names=["image", "corner", "table", "word"])
+
+
+def matched_images(described: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFrame:
+    """a, b, n_corners: those of the pairs (a, b) at least ``least`` of whose matched corners follow one transform."""
+    side = lambda s: described.select(F.col("image").alias(s), F.col("places").alias(f"places_{s}"), F.col("bits").alias(f"bits_{s}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(least), "a long, b long, n_corners long")
+
+
+def _enough(matches: DataFrame, least: int) -> DataFrame:
+    return matches.groupBy("a", "b").agg(F.count_distinct("p").alias("n")).where(F.col("n") >= least).select("a", "b")
+
+
+def _rest(described: DataFrame, labels: DataFrame, least: int = LEAST) -> DataFrame:
+    """a, b: pairs of images with different labels that may have ``least`` matches, by words with few entries and those with many."""
+    spark = described.sparkSession
+    met = written(spark, _matches(described, labels, "few"), "matches")
+    large = met.where("b is null").select(F.col("p").alias("table"), F.col("a").alias("word"))
+    if large.count() <= BROADCAST_WORDS:
+        large = F.broadcast(large)
+    entries = described.select("image", "bits").mapInArrow(_words, "image long, corner int, table int, word long")
+    many = written(spark, entries.join(large, ["table", "word"]).groupBy("image").agg(F.count_distinct("corner").alias("many")), "many")
+    side = lambda s: many.select(F.col("image").alias(s), F.col("many").alias(f"many_{s}"))
+    few = met.where("b is not null").groupBy("a", "b").agg(F.count_distinct("p").alias("n")).join(side("a"), "a", "left").join(side("b"), "b", "left")
+    reach = F.col("n") + F.least(F.coalesce("many_a", F.lit(0)), F.coalesce("many_b", F.lit(0)))
+    heavy = described.join(many.where(F.col("many") >= least).select("image"), "image", "left_semi")
+    return few.where(reach >= least).select("a", "b").unionByName(_enough(_matches(heavy, labels, "all"), least)).distinct()
 
 
 def find_copies(images: DataFrame) -> DataFrame:
@@ -337,8 +404,8 @@ def find_copies(images: DataFrame) -> DataFrame:
     reps = all_rows.where("same is not null").groupBy("same").agg(F.min("image_id").alias("rep"))
     one = all_rows.where("image_id is not null").join(reps, "same").where("image_id = rep").dropDuplicates(["same"])
     described = written(spark, one.select("image_id", "width", "height", "pixels").mapInArrow(_descriptors, DESCRIBED), "descriptors")
-    links = written(spark, matched_images(described, None).select("a", "b"), "stars")
-    rest = matched_images(described, components(links)).select("a", "b")
+    links = written(spark, matched_images(described, _enough(_matches(described, None, "stars"), LEAST)).select("a", "b"), "stars")
+    rest = matched_images(described, _rest(described, components(links))).select("a", "b")
     found = components(links.unionByName(rest))
     out = all_rows.select("image_id", "same").join(reps, "same", "left").join(found, F.col("rep") == F.col("node"), "left")
     return out.select("image_id", F.coalesce("component", "rep", "image_id").alias("class_id"))

@@ -316,10 +316,34 @@ def test_matches_in_buckets_equal_brute_force():
     table = pa.RecordBatch.from_pydict({"image": list(range(350)), "label": [i % 90 for i in range(350)], "bits": [bits[2 * i : 2 * i + 2].tobytes() for i in range(350)]})
     for small in (2, 256):
         entries = pa.Table.from_batches(list(media._entries(3)(iter([table])))).sort_by([("bucket", "ascending"), ("table", "ascending")])
-        got = [tuple(r.values()) for b in media._met(False, small)(iter(entries.to_batches())) for r in b.to_pylist()]
+        got = [tuple(r.values()) for b in media._met("all", 16, small)(iter(entries.to_batches())) for r in b.to_pylist()]
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_images_whose_corners_all_look_alike(spark):
+    """Pairs of copies among pictures that share all of their words with many others: none of their matches is in a word of few entries."""
+    draw = np.random.default_rng(12)
+    tiles = [media.draw(draw.random(8).astype(np.float32), 48) for _ in range(3)]
+    rows = []
+    for i in range(60):  # the same three tiles at different places: many corners alike, no common transform but by chance
+        image = np.full((160, 160), 128, np.uint8)
+        for t in tiles:
+            y, x = draw.integers(0, 110, 2)
+            image[y : y + 48, x : x + 48] = t
+        rows.append((i, 160, 160, bytearray(image.tobytes())))
+    frame = spark.createDataFrame(rows, media.IMAGE)
+    got = {r["image_id"]: r["class_id"] for r in media.find_copies(frame).collect()}
+    seen = [media.describe(np.frombuffer(r[3], np.uint8).reshape(160, 160)) for r in rows]
+    want = {i: i for i in range(60)}
+    for i in range(60):
+        for j in range(i):
+            p, q = media._all_matches(*(seen[k][1].astype(">u4").view("<u8").reshape(-1, 4) for k in (j, i)))
+            if len(p) >= media.LEAST and media.consensus(np.concatenate((seen[j][0][p], seen[i][0][q]), 1)) >= media.LEAST and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if c == high else c for k, c in want.items()}
+    assert got == want
+
+
 def test_every_odd_table_passes(spark):
     rows = odd(spark)
     for f in (neardup.near_duplicates, substrings.repeated_passages):
