@@ -253,10 +253,13 @@ def id_lists(packed: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
 
 
-def _mapped(df: DataFrame, column: str, kind: str, source, work, slice_bytes: int) -> DataFrame:
-    """``df`` with ``column`` made by ``work`` from the Arrow column ``source``, in slices of about ``slice_bytes``."""
-    rest = [c for c in df.columns if c.lower() != column]
-    rows = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), source.alias("x"))
+def _mapped(df: DataFrame, column: str, kind: str, source: str, cast: str, work, slice_bytes: int, keep: list[str] | None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (all if not given) and ``column``, made by ``work`` from the Arrow column ``source``, in slices of
+    about ``slice_bytes``. The source goes to the workers once, and comes back only if it is kept."""
+    names = [c for c in (df.columns if keep is None else keep) if c.lower() != column]
+    rest = [c for c in names if c != source]
+    rows = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(f"`{source}`").cast(cast).alias("x"))
+    back = source in names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apply = work()
@@ -264,14 +267,15 @@ def _mapped(df: DataFrame, column: str, kind: str, source, work, slice_bytes: in
             step = max(1, min(batch.num_rows, batch.num_rows * slice_bytes // max(1, batch.column(1).nbytes)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                yield pa.RecordBatch.from_arrays([part.column(0), apply(part.column(1))], names=["row", "y"])
+                made = [part.column(0), *([part.column(1)] if back else []), apply(part.column(1))]
+                yield pa.RecordBatch.from_arrays(made, names=["row", *(["x"] if back else []), "y"])
 
-    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, y {kind}")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in rest], F.col("y").alias(column))
+    out = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, {f'x {cast}, ' if back else ''}y {kind}")
+    return out.select(*[F.col("x").alias(c) if c == source else F.col(f"row.`{c}`").alias(c) for c in names], F.col("y").alias(column))
 
 
-def encode(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text") -> DataFrame:
-    """``df`` with ``ids``, the token ids of the whole text; a column of that name is replaced.
+def encode(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df`` (all if not given) with ``ids``, the token ids of the whole text; a column of that name is replaced.
 
     Null and empty texts have no ids. Other columns, null ids, ties and repeated rows pass as they are. The vocabulary (about a
     megabyte) goes to the executors as a broadcast variable, so they need no file.
@@ -282,10 +286,10 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text
         own = encoder(*shared.value)
         return lambda texts: id_lists(own.encode([t or "" for t in texts.to_pylist()]))
 
-    return _mapped(df, "ids", "array<int>", F.col(text_col).cast("string"), work, 16 << 20)
+    return _mapped(df, "ids", "array<int>", text_col, "string", work, 4 << 20, keep)
 
 
-def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids_col: str = "ids") -> DataFrame:
+def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``df`` with ``decoded``, the bytes of the ids. Null ids give null; an empty list gives no bytes."""
     shared = df.sparkSession.sparkContext.broadcast((vocabulary, pattern))
 
@@ -293,4 +297,4 @@ def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids_col: str = "ids")
         own = encoder(*shared.value)
         return lambda lists: pa.array([None if not x.is_valid else own.decode(x.values.to_numpy(zero_copy_only=False).astype(np.int64)) for x in lists], pa.binary())
 
-    return _mapped(df, "decoded", "binary", F.col(ids_col).cast("array<int>"), work, 4 << 20)
+    return _mapped(df, "decoded", "binary", ids_col, "array<int>", work, 4 << 20, keep)

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_fallback: dict[str, str] = {}
+from terrane.sources.fields import scratch, shared_dir
 
 #: What separates words: a space or one of the control characters 9 to 13. ``bytes.split()`` splits on exactly these.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -26,21 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where it is unset (tests), a folder of this machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="shared-")
-    return _fallback[app]
-
-
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors."""
     bounded_batches(spark)
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
@@ -50,8 +35,3 @@ def release(spark: SparkSession) -> None:
     """Deletes the intermediate tables of this application's shared folder. Results that still read them must be written before."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with ``__key``, a 128-bit hash of id and text. Rows that agree in both are the same row for every operator."""
-    return df.withColumn("__key", F.struct(F.xxhash64(id_col, text_col).alias("a"), F.xxhash64(text_col, id_col, F.lit(1)).alias("b")))

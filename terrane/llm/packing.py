@@ -8,20 +8,27 @@ A placement covers a range of ranks within one length, so pieces find their sequ
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terrane.llm.bpe import Words, id_lists
+from terrane.llm.bpe import Merger, Words, id_lists
 from terrane.llm.common import written
 
-#: Rank offsets up to this many rows (20 bytes each) are broadcast; beyond it the join is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Rank offsets up to this many rows (some 140 bytes each once built) are broadcast; beyond it the join is shuffled.
+BROADCAST_ROWS = 200_000
+
+#: Texts with a run of white space of this length or more don't go through the fast core as a whole.
+LONG_SPACE = 100_000
+_SPACES = re.compile(r"\s{%d}" % LONG_SPACE)
 
 PIECE = "doc_id {0}, start long, length long, doc_tokens long, ids array<int>, part int, local_rank long"
 
@@ -38,6 +45,9 @@ class Tokenizer:
         import tokenizers
 
         self.own = tokenizers.Tokenizer.from_str(definition)
+        kinds = [(json.loads(definition).get(k) or {}).get("type") for k in ("normalizer", "pre_tokenizer", "model")]
+        if kinds != [None, "ByteLevel", "BPE"] or json.loads(definition)["pre_tokenizer"].get("add_prefix_space"):
+            raise ValueError(f"not a plain byte-level BPE definition: {kinds}")
         added = {t.content for t in self.own.get_added_tokens_decoder().values()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         ranks = {bytes(_BYTES[c] for c in token): i for token, i in self.own.get_vocab(False).items() if token not in added}
@@ -48,17 +58,25 @@ class Tokenizer:
         for token, i in ranks.items():
             self.opens[i] = token[:1] == b" "
         self.words = Words(self._strings)
+        self.split, self.ranks, self.merger = regex.compile(pattern).findall, ranks, None
+
+    def _one(self, text: str) -> bytes:
+        """The ids of one string. Runs of white space of hundreds of thousands of characters, which the fast core can't take, go through the rank queue."""
+        if len(text) < LONG_SPACE or not _SPACES.search(text):
+            return np.array(self.fast(text), "<u4").tobytes()
+        self.merger = self.merger or Merger(self.ranks)
+        return b"".join(self.merger.encode([p.encode() for p in self.split(text)]))
 
     def _strings(self, strings: list[str]) -> list[bytes]:
         """Strings that are a space and a word without white space go through as one text, and are told apart by their spaces."""
         plain = [k for k, s in enumerate(strings) if len(s) > 1 and s[0] == " " and len(s.split()) == 1 and not s[1].isspace() and not s[-1].isspace()]
         if len(plain) < 100:
-            return [np.array(self.fast(s), "<u4").tobytes() for s in strings]
+            return [self._one(s) for s in strings]
         ids = np.array(self.fast("".join([strings[k] for k in plain])), "<u4")
         cuts = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
         packed, found = ids.tobytes(), dict.fromkeys(range(len(strings)))
         found.update((k, packed[a:b]) for k, a, b in zip(plain, cuts[:-1], cuts[1:], strict=True))
-        return [np.array(self.fast(strings[k]), "<u4").tobytes() if x is None else x for k, x in found.items()]
+        return [self._one(strings[k]) if x is None else x for k, x in found.items()]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         special = {k for k, t in enumerate(texts) for a in self.added if a in t}

@@ -32,7 +32,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents"))
     base = quality.passes(quality.BASE)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & quality.passes(quality.STANDARD)).alias("kept"), "failed_bits")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & quality.passes(quality.STANDARD)).alias("kept"), "failed_bits", F.lit(quality.STANDARD.version).alias("policy"))
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN).select("doc_id", "ids"), ranks, public_tokenizers.PATTERN)
+    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=["doc_id"]), ranks, public_tokenizers.PATTERN)
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -131,7 +131,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.remove_boilerplate(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed_lines", F.octet_length("text").cast("long").alias("n_bytes_left"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.octet_length("text").cast("long").alias("n_bytes_left"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
 def queries() -> dict:
