@@ -505,7 +505,7 @@ def outlier_branches(spark, d):
         {"name": "zeros", "type": "RZE", "levels": 4, "inputs": [{"from": "shuffle", "port": "output"}]},
         {"name": "errors", "type": "Bitshuffle", "element_width": 4, "inputs": [{"from": "predict", "port": "outlier_errors"}]},
         {"name": "error_zeros", "type": "RZE", "inputs": [{"from": "errors"}]},
-        {"name": "steps", "type": "Difference", "input_type": "uint32", "inputs": [{"from": "predict", "port": "outlier_indices"}]},
+        {"name": "steps", "type": "Difference", "input_type": "uint32", "chunk_size": 16384, "inputs": [{"from": "predict", "port": "outlier_indices"}]},
         {"name": "runs", "type": "RLE", "data_type": "uint32", "inputs": [{"from": "steps"}]},
     ]
     return _back(from_config({"stage": stages}), events(spark, d))
