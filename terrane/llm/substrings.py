@@ -66,7 +66,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(ids, counts), low.astype(np.int32) | high.astype(np.int32) << 16, s_low.astype(np.uint64) | s_high.astype(np.uint64) << np.uint64(32)
 
 
-def _seeds(least: int, buckets: int, most: int = 1 << 21):
+def _seeds(least: int, buckets: int, most: int = 1 << 20):
     """bucket, later, entries: the seeds of documents of ``least`` words or more, of about ``most`` words at a time, those that are the first of their kind among these and the later ones."""
 
     def flush(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:

@@ -148,6 +148,17 @@ def test_packing(spark, sf):
     assert packing.sequences(packing.pack(docs, definition)).where("size(ids) <> 2048").count() == 0
 
 
+def test_long_runs_of_white_space_are_encoded():
+    """Runs that the fast core can't take, against the library itself."""
+    from tokenizers import Tokenizer
+
+    definition = queries.vocabulary("byte_bpe_50k.json").decode()
+    own, tok = packing.Tokenizer(definition), Tokenizer.from_str(definition)
+    for text in ("a" + "\n" * 150_000 + "b c", " " * 120_000, "x " + " \t" * 60_000 + "\n y"):
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(own.encode(["\n" * 2_000_000, "ok"])[0]) > 4
+
+
 def brute_components(docs, size, percent):
     sets = {i: set(neardup.shingle_set((t or "").encode(), size).tolist()) for i, t in docs}
     parent = {i: i for i in sets}
