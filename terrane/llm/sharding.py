@@ -20,6 +20,9 @@ from pyspark.sql.window import Window
 
 TOP = 1 << 63
 
+#: Counts of parts of pieces, up to this many (some 100 bytes each), are broadcast; beyond it the join is shuffled.
+BROADCAST_PARTS = 500_000
+
 
 @dataclass
 class Splitter:
@@ -114,21 +117,23 @@ def shard(df: DataFrame, n_shards: int = 8, text_col: str = "text", id_col: str
 
     The size of a row is the UTF-8 length of its text plus 1; a null text has no bytes and an empty one neither, both get size 1.
     Null ids are a key like any other. Ties and repeated rows share a key and stay together. An empty table gives an empty result.
-    Columns of the input named ``shard`` or ``slot`` are replaced. A shard is exchanged and sorted in pieces of about ``piece_bytes``,
-    at most ``max_pieces`` in all, so no task holds a whole shard.
+    Columns of the input named ``shard`` or ``slot`` are replaced. A shard is exchanged and sorted in pieces of about ``piece_bytes``, so
+    no task holds a whole shard: up to ``max_pieces`` between counted boundaries; where more are needed, each of these is cut in even
+    parts of its range of hashes, which hold as much each, as a text that is large by itself has pieces of its own.
     """
     rest = [c for c in df.columns if c.lower() not in ("shard", "slot")]
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     h, d = F.shiftrightunsigned(F.xxhash64(text_col), 1), F.shiftrightunsigned(F.xxhash64(id_col), 1)
     keys = df.select(h.alias("h"), d.alias("d"), size.alias("size")).persist(StorageLevel.MEMORY_AND_DISK)
     total = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("t")).first()["t"]
-    part = max(1, min(max_pieces // n_shards, math.ceil(total / n_shards / piece_bytes)))
+    needed = max(1, math.ceil(total / n_shards / piece_bytes))
+    part = min(max(1, max_pieces // n_shards), needed)
+    parts = math.ceil(needed / part)  # of a piece
     wanted = []
     for k in range(1, n_shards * part):
         slack = total / n_shards * tolerance if k % part == 0 else total / n_shards / part / 20
         wanted.append((round(total * k / (n_shards * part)), int(slack)))
     cuts = splitters(keys, wanted) if total else []
-    keys.unpersist()
     ends = [(s.key, s.at) for s in cuts]
     outer = [((0, 0), (0, 0)), *ends[part - 1 :: part], ((TOP, 0), (total, 0))]
     for k, end in enumerate(ends):  # a looser inner boundary must not pass its neighbours
@@ -150,9 +155,27 @@ def shard(df: DataFrame, n_shards: int = 8, text_col: str = "text", id_col: str
         first = F.col("h") < _lit(at)
         return first if inside == 0 else first | ((F.col("h") == _lit(at)) & (F.col("d") < _lit(inside)))
 
-    rows = rows.withColumn("piece", _tree([k for k, _ in ends], F.lit, less))
+    piece = _tree([k for k, _ in ends], F.lit, less)
+    rows = rows.withColumn("piece", piece)
     base = F.element_at(F.array(*[_lit(x) for x in starts]), F.col("piece") + 1)
-    order = F.row_number().over(Window.partitionBy("piece").orderBy("h", "d")).cast("long") - 1
+    place = [F.col("piece")]
+    if parts > 1:
+        spans = []
+        for (low, first), (high, last) in zip([(0, 0), *(k for k, _ in ends)], [*(k for k, _ in ends), (TOP, 0)], strict=True):
+            inside = low == high
+            spans.append((inside, first if inside else low, max(1, (last - first if inside else high + 1 - low))))
+        of = lambda i, kind: F.element_at(F.array(*[F.lit(x[i]).cast(kind) for x in spans]), F.col("piece") + 1)
+        at = (F.when(of(0, "boolean"), F.col("d")).otherwise(F.col("h")) - of(1, "decimal(20,0)")) / of(2, "double")
+        cell = F.greatest(F.lit(0), F.least(F.lit(parts - 1), F.floor(at.cast("double") * parts))).cast("int")
+        earlier = Window.partitionBy("piece").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        counts = keys.withColumn("piece", piece).select("piece", cell.alias("cell")).groupBy("piece", "cell").agg(F.count(F.lit(1)).alias("n"))
+        counts = counts.select("piece", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        rows = rows.withColumn("cell", cell)
+        rows = rows.join(F.broadcast(counts) if (len(ends) + 1) * parts <= BROADCAST_PARTS else counts, ["piece", "cell"])
+        base, place = base + F.col("before"), [F.col("piece"), F.col("cell")]
+    else:
+        keys.unpersist()
+    order = F.row_number().over(Window.partitionBy(*place).orderBy("h", "d")).cast("long") - 1
     return rows.select("row", (F.col("piece") / part).cast("int").alias("shard"), (base + order).alias("slot")).select("row.*", "shard", "slot")
 
 

@@ -44,6 +44,21 @@ def test_a_hot_text_is_split_and_odd_rows_stay(spark):
     assert sharding.shard(hot.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_pieces_follow_the_bytes(spark, sf, hot):
+    """Many more pieces than boundaries are counted, and a text that is a third of all rows: still even, gapless and whole."""
+    docs = documents(spark, sf).select("doc_id", "text")
+    if hot:
+        docs = docs.unionByName(spark.range(1000, 1400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("hot text "), 300).alias("text")))
+    rows = sharding.shard(docs, piece_bytes=1500, max_pieces=32).select("doc_id", "shard", "slot", F.octet_length("text").alias("b")).collect()
+    plain = {r["doc_id"]: r["shard"] for r in sharding.shard(docs).collect()}
+    assert {r["doc_id"]: r["shard"] for r in rows} == plain and len(rows) == docs.count()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def naive_measures(text):
     words = (text or "").encode().split()
     marks = set()
