@@ -3,8 +3,8 @@
 Seeds are hashes of eight words around one that is left out, at every position: a passage with a word changed in every five has one
 between any two changes, and equal words by chance are rare enough in a large corpus. They pass one exchange,
 packed by bucket in some ten bytes each; a seed that lies in several documents points every later document to its first occurrence
-(least document, then position), so a seed with n occurrences gives at most n - 1 matches, and a frequent seed is reduced to its first
-occurrence before the exchange meets it.
+(least document, then position), so a seed with n occurrences gives at most n - 1 matches. A bucket holds a seed's first occurrence of each
+task that made seeds; the others stream past, so a frequent seed takes no more memory.
 In each document, matches to one earlier document are chained in order of both positions, with costs for gaps, through a Fenwick tree.
 The words around both sides of a chain are cut out once for all chains that need them, and aligned; what one earlier document covers
 alone for long enough is a passage. Documents that are equal as a whole are one document from the start.
@@ -399,7 +399,8 @@ def repeated_passages(df: DataFrame, min_words: int = 50, identity: float = 0.8,
 
     A passage has at least ``min_words`` words that one earlier document has, at least ``identity`` of them equal ones of its alignment.
     It is found if it has a seed: always, if words are changed evenly, and in all of 4000 random draws of 60 to 100 words at identities
-    from 0.8 on. Passages that overlap are one; ``sources`` are the documents that they were aligned with. The first document of a passage keeps it and has no row for it, and a
+    from 0.8 on. A seed leads to its first occurrence only: a stretch of one word over and over is not found where the first document that
+    has its seed has it in a shorter stretch. Passages that overlap are one; ``sources`` are the documents that they were aligned with. The first document of a passage keeps it and has no row for it, and a
     document equal to an earlier one is one passage. Words are compared with A to Z lower-cased, by 32-bit hashes in alignments. Null ids
     and null, empty or short texts have no passages; rows with the same id count as one document and must have one text; other columns
     are ignored.
