@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.functions.numeric import as_float, float_lit, half_even, mask, signed, unzigzag, zigzag
+from terrane.functions.numeric import as_float, half_even, mask, signed, unzigzag, zigzag
 
 
 def value_range(field: DataFrame) -> DataFrame:
