@@ -31,6 +31,9 @@ MATCH = "doc long, at int, first_doc long, first_at int"
 #: Words of a seed, as places from its first. The one left out may be changed, so changes five words apart leave seeds between them.
 PLACES = (0, 1, 2, 3, 5, 6, 7, 8)
 
+#: Documents with passages and their passages, up to this many together (some 60 bytes each), are broadcast; beyond it the join is shuffled.
+BROADCAST_SPANS = 1_000_000
+
 #: Windows begin and end at multiples of this many words, so that chains on one passage ask for the same one.
 GRID = 64
 
@@ -446,8 +449,16 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_passages(df: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the passages; documents that have no word left but had one go. Documents without a passage stay as they are."""
+    """``df`` without the passages; documents that have no word left but had one go. Documents without a passage stay as they are.
+
+    The passages are written, one row a document, and broadcast if they are few; else texts and passages meet in an exchange.
+    """
+    spark = df.sparkSession
     spans = passages.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    spans = written(spark, spans, "spans")
+    size = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    if size[0] + size[1] <= BROADCAST_SPANS:
+        spans = F.broadcast(spans)
     rest = [c for c in df.columns if c != text_col]
     rows = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("__id"))
     joined = rows.join(spans, F.col("__id") == F.col("__doc"), "left")
