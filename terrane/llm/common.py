@@ -11,9 +11,9 @@ WHITE = b" \t\n\x0b\x0c\r"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 2000 rows and 8 MB, so that a Python worker's memory does not depend on how long texts are."""
+    """Arrow batches of at most 2000 rows and 4 MB, so that a Python worker's memory does not depend on how long texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -39,7 +39,7 @@ BROADCAST_IDS = 2_000_000
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 100_000:
+        if len(self) < 40_000:
             self[word] = h
         return h
 
