@@ -5,11 +5,12 @@ Corners whose descriptors differ in three bits at most match: these agree in one
 such words. Pairs of images whose matched corners follow one similarity transform are copies, cropped, brightened, turned or scaled.
 
 Each table entry passes the exchange packed, in some fifty bytes, once for each of two rounds. The first gives the matches of the least
-image of a word with the others, as many as entries. The second leaves out images that the first has put into one class, so a large
-group of copies does not give all its pairs. It gives all matches of words with few entries; words with many, of corners that look
-alike in unrelated images, are only named. A pair of images can have no more matches than those of few, and as many of its corners as lie
-in words with many; what can reach the least number by that is compared corner by corner, and images that can reach it by words with many
-alone are compared over these in a third round. So no match that joins two classes is lost.
+image of a word with the others, as many as entries. What it links is one class from then on, so a large group of copies does not give
+all its pairs. Unrelated images have alike corners too, and more with every image, so the second round gives no matches: it gives each
+corner the group of alike corners that it lies in within a word, if the group has several classes. Corners that match have a group in
+common. An image needs ``LEAST`` places with a group, and two images that can be copies have the rarest group of those they share among
+the groups that leave each of them as many places with that group or commoner ones. Only images that meet there are compared, corner by
+corner, so no copy between two classes is lost.
 
 The media column is (width, height, pixels): 8-bit grey values by rows. The corpus has no table of images, so ``drawn_images`` draws
 one from every embedding, and an edited copy for some; the operator itself takes any table of this form.
@@ -35,16 +36,14 @@ RADIUS = 15
 TABLES = 4
 FAR = TABLES - 1
 
-#: Matched corners at different places that a pair of images needs, and how many entries make a word one of few. Compared one with the other,
-#: 0.99 of drawn pictures have four in common with their cropped and brightened copy (0.95 have six); of 180,000 unrelated pairs none has two.
-LEAST, FEW = 4, 16
-
-#: Words with many entries, up to this many (12 bytes each), are broadcast; beyond it the join is shuffled.
-BROADCAST_WORDS = 1_000_000
+#: Matched corners at different places that a pair of images needs. Compared one with the other, 0.99 of drawn pictures have four in common
+#: with their cropped and brightened copy (0.95 have six); of 180,000 unrelated pairs none has two.
+LEAST = 4
 
 IMAGE = "image_id long, width int, height int, pixels binary"
 DESCRIBED = "image long, n int, places binary, bits binary"
 MATCH = "a long, b long, p int, q int"
+GROUPED = "image long, label long, corner int, token long"
 
 
 def draw(vector: np.ndarray, side: int = 96) -> np.ndarray:
@@ -245,12 +244,74 @@ def _near_in(bits: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray,
             yield u[close], v[close]
 
 
-def _met(mode: str, few: int = FEW, small: int = 256):
-    """Matches of the buckets: those with the least image of each word (``stars``), all between images of different labels, each once
-    (``all``), or these of words with up to ``few`` entries; larger ones are named instead, as (word, null, table, entries)."""
+def _united(group: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least member of each one's group, once u and v are in one."""
+    while (group[u] != group[v]).any():
+        np.minimum.at(group, np.maximum(group[u], group[v]), np.minimum(group[u], group[v]))
+        while (group[group] != group).any():
+            group = group[group]
+    return group
+
+
+def _alike(kinds: np.ndarray, table: int, step: int, small: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of descriptors, sorted by their word of this table, whose groups join up all that are close and first meet in this table.
+
+    Of words with more than ``small`` descriptors those are compared that agree in a part of the other words too, as two close ones do; where
+    still more agree, they are one group without being compared, so the work grows with the descriptors. A group may be too large, never too small.
+    """
+
+    def close(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = _close(kinds, u, v) & (kinds[u, :table] != kinds[v, :table]).all(1)
+        return u[keep], v[keep]
+
+    start, size = _spans(kinds[:, table])
+    few = (size > 1) & (size <= small)
+    yield from (close(u, v) for u, v in _all_pairs(start[few], size[few], step))
+    large = np.flatnonzero(np.repeat(size > small, size))
+    quarters = np.ascontiguousarray(np.delete(kinds[large], table, 1)).view("<u2")
+    words = kinds[large, table].copy().view("<u2").reshape(-1, 4)
+    for part in np.array_split(np.arange(quarters.shape[1]), TABLES):
+        key = np.concatenate((words, quarters[:, part]), 1)
+        key = key.view(f"V{2 * key.shape[1]}").ravel()
+        order = np.argsort(key, kind="stable")
+        start, size = _spans(key[order])
+        order, few = large[order], (size > 1) & (size <= small)
+        yield from (close(order[u], order[v]) for u, v in _all_pairs(start[few], size[few], step))
+        many = np.repeat(size > small, size)
+        yield order[np.repeat(start, size)[many]], order[many]
+
+
+def _met(mode: str, step: int = 1 << 20, small: int = 256):
+    """What corners of the buckets have in common, some ``step`` pairs compared at a time: matches with the least image of each word
+    (``stars``), the group of each corner that is alike to others of different labels (``groups``, as ``GROUPED``), at most one row an
+    entry; or all matches between images of different labels, each once (``all``), which are as many as pairs."""
 
-    def bucket(table: int, blobs: list[bytes]) -> Iterator[list[np.ndarray | None]]:
+    def groups(table: int, image: np.ndarray, label: np.ndarray, corner: np.ndarray, bits: np.ndarray) -> list[np.ndarray]:
+        order = np.lexsort((*bits.T, bits[:, table]))
+        start, size = _spans(bits[order, table])
+        order = order[np.repeat(np.minimum.reduceat(label[order], start) != np.maximum.reduceat(label[order], start), size)]
+        image, label, corner, bits = image[order], label[order], corner[order], bits[order]
+        first, size = _spans(np.ascontiguousarray(bits).view("V32").ravel())
+        kinds, group = bits[first], np.arange(len(first))
+        for u, v in _alike(kinds, table, step, small):
+            group = _united(group, u, v)
+        own = np.repeat(group, size)
+        low, high = np.full(len(first), np.iinfo(np.int64).max), np.full(len(first), np.iinfo(np.int64).min)
+        np.minimum.at(low, own, label)
+        np.maximum.at(high, own, label)
+        # equal descriptors meet in the first table
+        live = (low < high) & ((np.bincount(group, minlength=len(first)) > 1) | (table == 0))
+        token = np.full(len(first), table, np.uint64)
+        for k in range(TABLES):
+            token = _mixed(token * np.uint64(31) + kinds[group, k])
+        keep = live[own]
+        return [image[keep], label[keep], corner[keep], token.view(np.int64).repeat(size)[keep]]
+
+    def bucket(table: int, blobs: list[bytes]) -> Iterator[list[np.ndarray]]:
         image, label, corner, bits = _unpacked(blobs)
+        if mode == "groups":
+            yield groups(table, image, label, corner, bits)
+            return
         order = np.lexsort((corner, image, bits[:, table]))
         image, label, corner, bits = image[order], label[order], corner[order], bits[order]
         start, size = _spans(bits[:, table])
@@ -260,29 +321,26 @@ def _met(mode: str, few: int = FEW, small: int = 256):
             found = [(head[v], v)]
         else:
             several = (size > 1) & (np.minimum.reduceat(label, start) != np.maximum.reduceat(label, start))
-            paired = several & (size <= (few if mode == "few" else small))
-            found = ((u[other], v[other]) for u, v in _all_pairs(start[paired], size[paired]) for other in [label[u] != label[v]])
-            large = several & ~paired
-            if mode == "few":
-                words = bits[start[large], table].view(np.int64)
-                yield [pa.array(words), pa.nulls(len(words), pa.int64()), pa.array(np.full(len(words), table, np.int32)), pa.array(size[large].astype(np.int32))]
-            else:
-                rest = np.delete(np.arange(TABLES), table)
-                found = chain(found, ((u + a, v + a) for a, n in zip(start[large], size[large], strict=True) for u, v in _near_in(np.ascontiguousarray(bits[a : a + n][:, rest]), label[a : a + n])))
+            paired, large = several & (size <= small), several & (size > small)
+            rest = np.delete(np.arange(TABLES), table)
+            found = ((u[other], v[other]) for u, v in _all_pairs(start[paired], size[paired], step) for other in [label[u] != label[v]])
+            found = chain(found, ((u + a, v + a) for a, n in zip(start[large], size[large], strict=True) for u, v in _near_in(np.ascontiguousarray(bits[a : a + n][:, rest]), label[a : a + n])))
         for u, v in found:
-            # each match in the first table that has it; where large words are left out, in each
+            # each match in the first table that has it
             keep = _close(bits, u, v) & ((bits[u, :table] != bits[v, :table]).all(1) if mode == "all" else True)
             u, v = u[keep], v[keep]
             swap = image[u] > image[v]
             u, v = np.where(swap, v, u), np.where(swap, u, v)
-            yield [pa.array(x) for x in (image[u], image[v], corner[u], corner[v])]
+            yield [image[u], image[v], corner[u], corner[v]]
+
+    names = [c.split()[0] for c in (GROUPED if mode == "groups" else MATCH).split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held = None, []
         rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "table", "entries")), strict=True))
         for b, table, blob in chain(rows, [(None, None, None)]):
             if (b, table) != here and held:
-                yield from (pa.RecordBatch.from_arrays(x, names=["a", "b", "p", "q"]) for x in bucket(here[1], held) if len(x[0]))
+                yield from (pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=names) for x in bucket(here[1], held) if len(x[0]))
                 held = []
             here = b, table
             held.append(blob)
@@ -343,7 +401,7 @@ def _agreeing(least: int):
 
 
 def _matches(described: DataFrame, labels: DataFrame | None, mode: str) -> DataFrame:
-    """a, b, p, q: matches of corners p and q of images a and b, as ``_met`` gives them."""
+    """Matches of corners p and q of images a and b, or the groups of corners, as ``_met`` gives them."""
     spark = described.sparkSession
     corners = described.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corners * TABLES // 1_000_000))
@@ -352,16 +410,17 @@ def _matches(described: DataFrame, labels: DataFrame | None, mode: str) -> DataF
     else:
         rows = described.join(labels, F.col("image") == F.col("node"), "left").select("image", F.coalesce("component", "image").alias("label"), "bits")
     entries = rows.mapInArrow(_entries(parts), "bucket int, table int, entries binary").repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "table")
-    return entries.mapInArrow(_met(mode), MATCH)
+    return entries.mapInArrow(_met(mode), GROUPED if mode == "groups" else MATCH)
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """image, corner, table, word of every entry."""
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """image, label, place, token: the groups of every place of an image, numbered as ``consensus`` tells places apart."""
     for batch in batches:
-        for image, data in zip(batch.column("image").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-            words = np.frombuffer(data, "<i8")
-            n = np.arange(len(words))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), image)), pa.array((n // TABLES).astype(np.int32)), pa.array((n % TABLES).astype(np.int32)), pa.array(words)], names=["image", "corner", "table", "word"])
+        for image, label, data, found in zip(*(batch.column(c).to_pylist() for c in ("image", "label", "places", "found")), strict=True):
+            at = np.frombuffer(data, "<f4").reshape(-1, 4)
+            _, place = np.unique(np.rint((at[:, 0] + 1j * at[:, 1]) / 4), return_inverse=True)
+            own = sorted({(int(place[f["corner"]]), f["token"]) for f in found})
+            yield pa.RecordBatch.from_arrays([pa.array([image] * len(own), pa.int64()), pa.array([label] * len(own), pa.int64()), pa.array([o[0] for o in own], pa.int32()), pa.array([o[1] for o in own], pa.int64())], names=["image", "label", "place", "token"])
 
 
 def matched_images(described: DataFrame, pairs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -374,20 +433,34 @@ def _enough(matches: DataFrame, least: int) -> DataFrame:
     return matches.groupBy("a", "b").agg(F.count_distinct("p").alias("n")).where(F.col("n") >= least).select("a", "b")
 
 
+def _ranked(rows: DataFrame, least: int) -> DataFrame:
+    """Rows whose group has several labels, of images with ``least`` places; rank orders groups, rare ones first, and last is the highest
+    rank of an image from which on it has as many places."""
+    spark = rows.sparkSession
+    shared = rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high")
+    ranked = written(spark, rows.join(shared, "token").select("image", "label", "place", "token", F.struct("n", "token").alias("rank")), "ranked")
+    highest = ranked.groupBy("image", "place").agg(F.max("rank").alias("rank")).groupBy("image").agg(F.sort_array(F.collect_list("rank"), asc=False).alias("ranks"))
+    return written(spark, ranked.join(highest.where(F.size("ranks") >= least).select("image", F.col("ranks")[least - 1].alias("last")), "image"), "places")
+
+
 def _rest(described: DataFrame, labels: DataFrame, least: int = LEAST) -> DataFrame:
-    """a, b: pairs of images with different labels that may have ``least`` matches, by words with few entries and those with many."""
+    """a, b: pairs of images with different labels that may have ``least`` matches at different places.
+
+    Two images with so many share a group at as many places of each. The rarest of these groups has that many places at its rank or above
+    in both images, so they meet in it. Leaving out images with too few places lets groups go, and more images with them; it is done twice.
+    """
     spark = described.sparkSession
-    met = written(spark, _matches(described, labels, "few"), "matches")
-    large = met.where("b is null").select(F.col("p").alias("table"), F.col("a").alias("word"))
-    if large.count() <= BROADCAST_WORDS:
-        large = F.broadcast(large)
-    entries = described.select("image", "bits").mapInArrow(_words, "image long, corner int, table int, word long")
-    many = written(spark, entries.join(large, ["table", "word"]).groupBy("image").agg(F.count_distinct("corner").alias("many")), "many")
-    side = lambda s: many.select(F.col("image").alias(s), F.col("many").alias(f"many_{s}"))
-    few = met.where("b is not null").groupBy("a", "b").agg(F.count_distinct("p").alias("n")).join(side("a"), "a", "left").join(side("b"), "b", "left")
-    reach = F.col("n") + F.least(F.coalesce("many_a", F.lit(0)), F.coalesce("many_b", F.lit(0)))
-    heavy = described.join(many.where(F.col("many") >= least).select("image"), "image", "left_semi")
-    return few.where(reach >= least).select("a", "b").unionByName(_enough(_matches(heavy, labels, "all"), least)).distinct()
+    found = written(spark, _matches(described, labels, "groups"), "groups")
+    several = found.groupBy("image", "label").agg(F.collect_list(F.struct("corner", "token")).alias("found"), F.count_distinct("corner").alias("n")).where(F.col("n") >= least)
+    rows = several.drop("n").join(described.select("image", "places"), "image").mapInArrow(_places, "image long, label long, place int, token long")
+    rows = _ranked(_ranked(written(spark, rows, "places"), least).drop("rank", "last"), least)
+    rare = written(spark, rows.where("rank <= last").select("token", "label", "image").distinct(), "rare")
+    # classes meet first, so images of one class are not compared with each other
+    side = lambda s: rare.select("token", F.col("label").alias(f"label_{s}"), F.col("image").alias(s))
+    classes = lambda s: side(s).select("token", f"label_{s}").distinct()
+    meet = classes("a").join(classes("b"), "token").where("label_a < label_b")
+    pairs = meet.join(side("a"), ["token", "label_a"]).join(side("b"), ["token", "label_b"])
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def find_copies(images: DataFrame) -> DataFrame:

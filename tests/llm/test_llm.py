@@ -370,6 +370,64 @@ def test_images_whose_corners_all_look_alike(spark):
     assert got == want
 
 
+def described(spark, images):
+    """Described images, each a list of corners: x, y and 256 bits."""
+    rows = [(i, len(c), bytearray(np.array([[x, y, 1, 0] for x, y, _ in c], "<f4").tobytes()), bytearray(np.packbits(np.array([b for _, _, b in c], np.uint8), axis=1).tobytes())) for i, c in enumerate(images)]
+    return spark.createDataFrame(rows, media.DESCRIBED)
+
+
+def test_groups_of_corners_hold_every_match():
+    """Corners within three bits share a group, from small words and from large ones, in no more rows than entries."""
+    draw = np.random.default_rng(4)
+    base = draw.integers(0, 2, (30, 256), dtype=np.uint8)
+    bits = np.packbits(np.array([base[draw.integers(0, 30)] ^ np.isin(np.arange(256), draw.choice(256, draw.integers(0, 4), replace=False)) for _ in range(900)], np.uint8), axis=1)
+    label = np.arange(900) // 2 % 90
+    import pyarrow as pa
+
+    table = pa.RecordBatch.from_pydict({"image": list(range(450)), "label": [i % 90 for i in range(450)], "bits": [bits[2 * i : 2 * i + 2].tobytes() for i in range(450)]})
+    u, v = np.triu_indices(900, 1)
+    near = (np.bitwise_count(bits[u] ^ bits[v]).sum(1) <= 3) & (label[u] != label[v])
+    for small in (2, 8, 256):
+        entries = pa.Table.from_batches(list(media._entries(3)(iter([table])))).sort_by([("bucket", "ascending"), ("table", "ascending")])
+        rows = [tuple(r.values()) for b in media._met("groups", 16, small)(iter(entries.to_batches())) for r in b.to_pylist()]
+        found = defaultdict(set)
+        for image, own, corner, token in rows:
+            assert own == image % 90
+            found[2 * image + corner].add(token)
+        assert all(found[a] & found[b] for a, b in zip(u[near].tolist(), v[near].tolist(), strict=True))
+        assert len(rows) == len(set(rows)) <= 900 * media.TABLES
+
+
+def test_alike_corners_of_unrelated_images_are_not_paired(spark):
+    """Sixteen images each share three corners: as many rows as corners have words, not pairs; only the two images with a fourth in common meet."""
+    draw = np.random.default_rng(5)
+    kinds = draw.integers(0, 2, (41 * 3, 256), dtype=np.uint8)
+    images = [[(20 * k, 30, kinds[i % 40 * 3 + k]) for k in range(3)] + [(90, 90, kinds[120] if i in (7, 47) else draw.integers(0, 2, 256, dtype=np.uint8))] for i in range(640)]
+    frame, labels = described(spark, images), spark.createDataFrame([], "node long, component long")
+    assert media._matches(frame, labels, "groups").count() == 640 * 3 + 2
+    assert [tuple(r) for r in media._rest(frame, labels).collect()] == [(7, 47)]
+
+
+def test_images_that_may_be_copies_all_meet(spark):
+    """Random images of common and rare corners, at repeated places, some of one class: each pair with four matches at four places of both is compared."""
+    draw = np.random.default_rng(6)
+    kinds = draw.integers(0, 2, (60, 256), dtype=np.uint8)
+    images = []
+    for _ in range(150):
+        chosen = np.minimum(draw.geometric(0.06, draw.integers(3, 12)) - 1, 59)
+        images.append([(8 * draw.integers(0, 5), 8 * draw.integers(0, 3), kinds[k] ^ (np.arange(256) == draw.integers(0, 256))) for k in chosen])
+    bits = [np.packbits(np.array([b for _, _, b in c], np.uint8), axis=1) for c in images]
+    label = {i: i - i % 3 if i < 30 else i for i in range(150)}
+    want = set()
+    for i in range(150):
+        for j in range(i):
+            p, q = np.nonzero(np.bitwise_count(bits[j][:, None] ^ bits[i][None]).sum(2) <= 3)
+            if label[i] != label[j] and min(len({images[k][c][:2] for c in side}) for k, side in ((j, p), (i, q))) >= media.LEAST:
+                want.add((j, i))
+    got = {tuple(r) for r in media._rest(described(spark, images), spark.createDataFrame([(i, c) for i, c in label.items() if i < 30], "node long, component long")).collect()}
+    assert len(want) > 200 and want <= got and all(a < b and label[a] != label[b] for a, b in got)
+
+
 def test_every_odd_table_passes(spark):
     rows = odd(spark)
     for f in (neardup.near_duplicates, substrings.repeated_passages):
