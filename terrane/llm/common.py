@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from terrane.sources.fields import scratch, shared_dir
@@ -16,6 +22,25 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+#: The operator that this Python worker served last, and what frees its caches.
+_holder: list[tuple[str, Callable[[], None]]] = []
+
+
+def take_over(name: str, forget: Callable[[], None]) -> None:
+    """Says in a Python worker that the operator ``name`` works there now, and how what it keeps from task to task is freed.
+
+    Workers serve one operator after another. What the one before kept goes, and its memory back to the system, so that caches of
+    several operators never add up. Functions given must be a module's own, as others are copied to workers with what they refer to.
+    """
+    if _holder and _holder[0][0] != name:
+        _holder[0][1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other C libraries give memory back by themselves
+            ctypes.CDLL(None).malloc_trim(0)
+    _holder[:] = [(name, forget)]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the corpus, read through Spark's own readers only."""
     bounded_batches(spark)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import bounded_batches
+from terrane.llm.common import bounded_batches, take_over
 
 # Families of common languages by their two-letter codes.
 FAMILIES = {
@@ -37,6 +37,10 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
 
+def forget() -> None:
+    """Nothing is kept."""
+
+
 def family(lang: str) -> str:
     """The family of a language; a language that no family lists is one of its own."""
     return next((f for f, members in FAMILIES.items() if lang in members), f"only-{lang}")
@@ -182,6 +186,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     drawn = rows.where(F.pmod(F.xxhash64("key", "text", F.lit(5)), F.lit(1 << 53)) < share * F.lit(float(1 << 53))).select("lang", "text").distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("language", forget)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_sparse(vector(t.as_py(), size)) for t in b.column(1).cast(pa.binary())], pa.binary())], names=["lang", "v"])
 
@@ -206,6 +211,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text", keep: list[str
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("language", forget)
         own = shared.value
         for b in batches:
             found = [own.predict(t.as_py()) for t in b.column(1).cast(pa.binary())]

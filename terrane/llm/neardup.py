@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import written
+from terrane.llm.common import take_over, written
 from terrane.llm.components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -47,6 +47,10 @@ class _Hashes(dict):
 _words = _Hashes()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -86,6 +90,7 @@ def sketches(df: DataFrame, size: int, k: int, id_col: str = "doc_id", text_col:
     """id, n (the set's size), same (128-bit digest of the set) and sketch (the k smallest hashes) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("neardup", forget)
         for batch in batches:
             n, same, low = [], [], []
             for t in batch.column(1).cast(pa.binary()):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.llm.bpe import Merger, Words, id_lists
-from terrane.llm.common import written
+from terrane.llm.common import take_over, written
 
 #: Rank offsets up to this many rows (some 140 bytes each once built) are broadcast; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
@@ -97,7 +97,13 @@ _BYTES = _byte_characters()
 _tokenizers: dict[str, Tokenizer] = {}
 
 
+def forget() -> None:
+    _tokenizers.clear()
+
+
 def tokenizer(definition: str) -> Tokenizer:
+    """The tokenizer of a definition; a Python worker keeps it, with its caches, until it works for another operator."""
+    take_over("packing", forget)
     key = hashlib.blake2b(definition.encode(), digest_size=16).hexdigest()
     if key not in _tokenizers:
         _tokenizers.clear()

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import written
-from terrane.llm.neardup import ODD, mixed, word_hashes
+from terrane.llm.common import take_over, written
+from terrane.llm.neardup import ODD, forget, mixed, word_hashes
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,17 +69,17 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(ids, counts), low.astype(np.int32) | high.astype(np.int32) << 16, s_low.astype(np.uint64) | s_high.astype(np.uint64) << np.uint64(32)
 
 
-def _seeds(least: int, buckets: int, most: int = 1 << 20):
+def _seeds(least: int, buckets: int, most: int = 1 << 18):
     """bucket, later, entries: the seeds of documents of ``least`` words or more, of about ``most`` words at a time, those that are the first of their kind among these and the later ones."""
 
     def flush(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
         held.sort(key=lambda x: x[0])
         seeds = np.concatenate([h for _, h in held])
         docs = np.repeat(np.array([i for i, _ in held], np.int64), [len(h) for _, h in held])
-        at = np.concatenate([np.arange(len(h), dtype=np.int64) for _, h in held])
-        later = np.ones(len(seeds), np.int64)
-        later[np.unique(seeds, return_index=True)[1]] = 0
-        key = ((seeds >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) * 2 + later
+        at = np.concatenate([np.arange(len(h), dtype=np.int32) for _, h in held])
+        held.clear()
+        key = ((seeds >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32) * 2 + 1
+        key[np.unique(seeds, return_index=True)[1]] -= 1
         order = np.argsort(key, kind="stable")
         key, docs, at, seeds = key[order], docs[order], at[order], seeds[order]
         first = np.flatnonzero(np.diff(key, prepend=-1))
@@ -87,6 +87,7 @@ def _seeds(least: int, buckets: int, most: int = 1 << 20):
         return pa.RecordBatch.from_arrays([pa.array((key[first] // 2).astype(np.int32)), pa.array((key[first] % 2).astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "later", "entries"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("substrings", forget)
         held, n = [], 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -117,6 +118,7 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settle() -> tuple[tuple, Iterator[pa.RecordBatch]]:
         docs, at, seeds = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
         order = np.argsort(seeds, kind="stable")
         docs, at, seeds = docs[order], at[order], seeds[order]
         new = np.flatnonzero(np.diff(seeds, prepend=seeds[0] + np.uint64(1)))

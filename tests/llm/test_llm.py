@@ -245,6 +245,33 @@ def test_chains_through_a_fenwick_tree():
     assert substrings.chains(line + noise, 8)[0] == line
 
 
+def test_seeds_of_many_documents_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    texts = [" ".join(map(str, draw.integers(0, 20_000, 2000).tolist())) for _ in range(400)]  # 800,000 words
+    batches = [pa.record_batch({"doc_id": pa.array(range(k, k + 50)), "text": texts[k : k + 50]}) for k in range(0, 400, 50)]
+    tracemalloc.start()
+    n = sum(len(substrings._unpacked(e.as_py())[0]) for b in substrings._seeds(40, 8)(iter(batches)) for e in b.column("entries"))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 400 * (2000 - 8) and most < 40 << 20
+
+
+def test_a_worker_keeps_caches_of_one_operator_only():
+    import pyarrow as pa
+
+    definition = queries.vocabulary("byte_bpe_50k.json").decode()
+    own = packing.tokenizer(definition)
+    assert packing.tokenizer(definition) is own
+    batch = pa.record_batch({"doc_id": [1], "text": ["some words of a text that has ten words or more"]})
+    assert list(substrings._seeds(5, 4)(iter([batch]))) and not packing._tokenizers and neardup._words
+    again = packing.tokenizer(definition)
+    assert not neardup._words and again.encode(["some words"]) == own.encode(["some words"])
+
+
 def test_two_passages_in_one_pair_of_documents(spark):
     """A second passage, with four words put in, a hundred words after a long first one: each is chained and found."""
     second = [(500 + 10 * i, 700 + 10 * i) for i in range(10)]
